@@ -7,6 +7,7 @@ into the open window with the least room that still holds it, found by a segment
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -23,8 +24,10 @@ CAPACITY = 2048
 END_ID = 1
 #: Documents packed together at most: bounds a task's memory whatever its partition holds.
 BLOCK_DOCS = 50_000
+#: Bytes of ids in such a block at most, but for one document.
+BLOCK_BYTES = 128 << 20
 #: Distinct words whose ids a worker keeps.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
@@ -87,53 +90,73 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[
 
 
 class WordIds:
-    """Ids of whole texts by way of their words: the tokenizer never joins across ASCII white space, so each distinct
-    word is encoded once and texts are put together from the words' ids (as little-endian bytes)."""
+    """Ids of whole texts by way of their words. The vocabulary's words end at white space, and a run of letters is
+    never joined with what stands beside it; so each distinct word is encoded once, and texts are put together from
+    their words' ids (little-endian bytes). A text with a special token's opening is encoded as a whole."""
 
-    SEPARATOR = "<|startoftext|>"  # fixed value: a special token of the vocabulary, never merged with its neighbours
+    SPECIAL = b"<|"  # fixed value: how the vocabulary's special tokens begin
+    WORD_END = "</w>"  # fixed value: how tokens that end a word end
+    TAIL = b",.;:!?"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.separator_id = self.tokenizer.token_to_id(self.SEPARATOR)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, at in self.tokenizer.get_vocab().items():
+            self.ends[at] = token.endswith(self.WORD_END)
         self.known: dict[bytes, bytes] = {}
 
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn_letters(self, words: list[bytes]) -> None:
+        """Words of letters alone: encoded side by side, and told apart by the tokens that end words."""
+        ids = np.array(self.tokenizer.encode(" ".join(w.decode() for w in words), add_special_tokens=False).ids, "<u4")
+        ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+        if len(ends) != len(words):  # lower-casing or composition made another number of words
+            self.known.update((w, self._whole(w.decode())) for w in words)
+            return
+        raw, begin = ids.tobytes(), 0
+        for word, end in zip(words, ends, strict=True):
+            self.known[word] = raw[4 * begin : 4 * end]
+            begin = end
+
     def _learn(self, words: list[bytes]) -> None:
-        plain = [w for w in words if self.SEPARATOR.encode() not in w]
-        for word in (w for w in words if self.SEPARATOR.encode() in w):
-            ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
-            self.known[word] = np.array(ids, "<u4").tobytes()
-        for at in range(0, len(plain), 5000):
-            part = plain[at : at + 5000]
-            joined = self.SEPARATOR.join(w.decode() for w in part)
-            ids = np.array(self.tokenizer.encode(joined, add_special_tokens=False).ids, "<u4")
-            ends = np.append(np.flatnonzero(ids == self.separator_id), len(ids)).tolist()
-            raw, begin = ids.tobytes(), 0
-            for word, end in zip(part, ends, strict=True):
-                self.known[word] = raw[4 * begin : 4 * end]
-                begin = end + 1
-
-    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
-        for text in texts:
-            words = text.split()
-            try:
-                yield b"".join([self.known[w] for w in words])
-            except KeyError:
-                if len(self.known) > CACHE_WORDS:
-                    self.known.clear()
-                # distinct words in order of appearance
-                self._learn([w for w in dict.fromkeys(words) if w not in self.known])
-                yield b"".join([self.known[w] for w in words])
-
-    def prepare(self, texts: list[bytes]) -> None:
-        """Learns the words of many texts at once."""
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        words: set[bytes] = set()
-        for text in texts:
-            words.update(text.split())
-        self._learn([w for w in words if w not in self.known])
+        """Adds words; a word with ASCII letters before closing marks is put together from the two."""
+        known, letters, joint = self.known, [], []
+        for word in words:
+            if word in known:
+                continue
+            stem = word.rstrip(self.TAIL)
+            if len(stem) < len(word) and stem[-1:].isalnum():
+                joint.append((word, stem, word[len(stem) :]))
+                if joint[-1][2] not in known:
+                    known[joint[-1][2]] = self._whole(joint[-1][2].decode())
+                if stem in known:
+                    continue
+            else:
+                stem = word
+            if stem.decode().isalpha():
+                letters.append(stem)
+            else:
+                known[stem] = self._whole(stem.decode())
+        if letters:
+            self._learn_letters(list(dict.fromkeys(letters)))
+        for word, stem, tail in joint:
+            known[word] = known[stem] + known[tail]
+
+    def encode(self, text: bytes) -> bytes:
+        if self.SPECIAL in text:
+            return self._whole(text.decode())
+        words = text.split()
+        try:
+            return b"".join([self.known[w] for w in words])
+        except KeyError:
+            if len(self.known) > CACHE_WORDS:
+                self.known.clear()
+            self._learn(words)
+            return b"".join([self.known[w] for w in words])
 
 
 def _windows_of(block: list[tuple], capacity: int, first: int) -> tuple[dict[str, list], int]:
@@ -165,6 +188,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         number = (context.partitionId() if context else 0) << 33
         words, block, size = WordIds(tokenizer_path), [], 0
         schema = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")] + ([("ids", pa.binary())] if with_ids else []))
@@ -178,13 +202,10 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
 
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
-            for at in range(0, len(texts), 500):
-                part = texts[at : at + 500]
-                words.prepare(part)
-                for doc_id, found in zip(ids[at : at + 500], words.encode(part), strict=True):
-                    block.append((doc_id, found + end))
-                    size += len(found)
-                if len(block) >= BLOCK_DOCS or size > 128 << 20:
+            for doc_id, text in zip(ids, texts, strict=True):
+                block.append((doc_id, words.encode(text) + end))
+                size += len(block[-1][1])
+                if len(block) >= BLOCK_DOCS or size > BLOCK_BYTES:
                     yield from flush()
                     block, size = [], 0
         if block:
