@@ -5,12 +5,16 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import packing
+from quarry.llm import packing, tiff
 from quarry.llm.common import read
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op6_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiff.text_media(read(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), TOKENIZER, with_ids=False)
 
@@ -19,6 +23,7 @@ def queries() -> dict:
     import corpus_pipeline
 
     return {
+        "op6_tiff_media": op6_tiff_media,
         "op7_packing": op7_packing,
         "pipeline": corpus_pipeline.run,
     }
