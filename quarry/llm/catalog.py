@@ -5,12 +5,18 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import packing, tiff
+from quarry.llm import line_dedup, packing, tiff, urls
 from quarry.llm.common import read
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The host of a document is its source."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return line_dedup.drop_boilerplate(docs)
+
+
 def op6_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.text_media(read(spark, sf_dir, "documents"))
 
@@ -19,15 +25,21 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), TOKENIZER, with_ids=False)
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(read(spark, sf_dir, "pages"))
+
+
 def queries() -> dict:
     import corpus_pipeline
 
     return {
+        "op5_line_dedup": op5_line_dedup,
         "op6_tiff_media": op6_tiff_media,
         "op7_packing": op7_packing,
+        "op9_url_filter": op9_url_filter,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_line_dedup": line_dedup.SQL, "op9_url_filter": urls.SQL}
