@@ -5,12 +5,16 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import line_dedup, packing, tiff, urls
+from quarry.llm import decontaminate, line_dedup, packing, secrets, tiff, urls
 from quarry.llm.common import read
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The host of a document is its source."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
@@ -25,6 +29,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), TOKENIZER, with_ids=False)
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(read(spark, sf_dir, "documents"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(read(spark, sf_dir, "pages"))
 
@@ -33,9 +41,11 @@ def queries() -> dict:
     import corpus_pipeline
 
     return {
+        "op4_decontamination": op4_decontamination,
         "op5_line_dedup": op5_line_dedup,
         "op6_tiff_media": op6_tiff_media,
         "op7_packing": op7_packing,
+        "op8_secret_scan": op8_secret_scan,
         "op9_url_filter": op9_url_filter,
         "pipeline": corpus_pipeline.run,
     }
