@@ -5,12 +5,16 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import decontaminate, line_dedup, packing, secrets, tiff, urls
+from quarry.llm import decontaminate, line_dedup, packing, secrets, tiff, toxicity, urls
 from quarry.llm.common import read
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -41,6 +45,7 @@ def queries() -> dict:
     import corpus_pipeline
 
     return {
+        "op3_toxicity": op3_toxicity,
         "op4_decontamination": op4_decontamination,
         "op5_line_dedup": op5_line_dedup,
         "op6_tiff_media": op6_tiff_media,
