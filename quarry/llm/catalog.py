@@ -5,12 +5,16 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import decontaminate, line_dedup, packing, secrets, tiff, toxicity, urls
+from quarry.llm import decontaminate, line_dedup, lm, packing, secrets, tiff, toxicity, urls
 from quarry.llm.common import read
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(read(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -45,6 +49,7 @@ def queries() -> dict:
     import corpus_pipeline
 
     return {
+        "op1_lm_scoring": op1_lm_scoring,
         "op3_toxicity": op3_toxicity,
         "op4_decontamination": op4_decontamination,
         "op5_line_dedup": op5_line_dedup,
