@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import decontaminate, line_dedup, lm, packing, secrets, tiff, toxicity, urls
+from quarry.llm import decontaminate, jaccard, line_dedup, lm, packing, secrets, tiff, toxicity, urls
 from quarry.llm.common import read
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -45,6 +45,10 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(read(spark, sf_dir, "pages"))
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     import corpus_pipeline
 
@@ -57,6 +61,7 @@ def queries() -> dict:
         "op7_packing": op7_packing,
         "op8_secret_scan": op8_secret_scan,
         "op9_url_filter": op9_url_filter,
+        "op10_ngram_jaccard": op10_ngram_jaccard,
         "pipeline": corpus_pipeline.run,
     }
 
