@@ -28,13 +28,14 @@ _NUMBER = r"\d+(?:[.,:/]\d+)*"
 def template_words(text: Column) -> Column:
     """Lower-cased words without punctuation; a slot is one word: mark, type, mark, value."""
     t = F.coalesce(text, F.lit(""))
-    t = F.translate(t, SLOT + VALUE, "")
+    t = F.when(t.contains(SLOT) | t.contains(VALUE), F.translate(t, SLOT + VALUE, "")).otherwise(t)
     # a name: capitalised words after a word that doesn't end a sentence
     t = F.regexp_replace(t, r"(?<=[\p{L}\d,;:]\s)\p{Lu}[\p{L}\p{M}'’-]*", f" {SLOT}name{VALUE}$0")
-    t = F.regexp_replace(t, rf"(?i)(?<![\p{{L}}\d.,])[$€£]?({_NUMBER})\s?({UNITS})(?![\p{{L}}\d])", f" {SLOT}num{VALUE}$1 {SLOT}unit{VALUE}$2 ")
-    t = F.regexp_replace(t, rf"(?<![\p{{L}}\d.,{VALUE}])[$€£]?{_NUMBER}(?![\p{{L}}\d])", f" {SLOT}num{VALUE}$0 ")
-    t = F.lower(F.translate(t, ".,;:!?\"()[]{}<>«»“”", ""))
-    return F.filter(F.split(t, r"\s+"), lambda x: x != "")
+    n = F.regexp_replace(t, rf"(?i)(?<![\p{{L}}\d.,])[$€£]?({_NUMBER})\s?({UNITS})(?![\p{{L}}\d])", f" {SLOT}num{VALUE}$1 {SLOT}unit{VALUE}$2 ")
+    n = F.regexp_replace(n, rf"(?<![\p{{L}}\d.,{VALUE}])[$€£]?{_NUMBER}(?![\p{{L}}\d])", f" {SLOT}num{VALUE}$0 ")
+    t = F.when(t.rlike(r"\d"), n).otherwise(t)
+    t = F.lower(F.regexp_replace(t, r"[.,;:!?\"()\[\]{}<>«»“”]+", ""))
+    return F.split(F.btrim(t, F.lit(" \t\n\r\x0b\x0c")), r"\s+")
 
 
 def _held(column: Column) -> Column:
@@ -47,7 +48,7 @@ def _windows(words: DataFrame, n: int) -> DataFrame:
     held = words.withColumn("kinds", _held(F.transform("words", lambda x: F.xxhash64(F.substring_index(x, VALUE, 1)))))
     full = F.size("kinds") >= n
     starts = F.when(full, F.sequence(F.lit(0), F.size("kinds") - n)).otherwise(F.array().cast("array<int>"))
-    return held.withColumn("windows", F.transform(starts, lambda i: F.xxhash64(F.slice("kinds", i + 1, n)))).drop("kinds")
+    return held.withColumn("windows", F.transform(starts, lambda i: F.xxhash64(*[F.get("kinds", i + k) for k in range(n)]))).drop("kinds")
 
 
 def _item_windows(items: DataFrame, n: int) -> DataFrame:
@@ -73,7 +74,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     (xxhash64 of the text) tells documents of one id apart. Empty tables give no rows; other columns aren't read.
     """
     docs = docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    items = benchmark.select("item_id", "text")
+    items = benchmark.select("item_id", "text").filter(F.col("text").rlike(r"\S"))
     sized = items.select(F.least(F.size(template_words(F.col("text"))), F.lit(WORDS)).alias("n")).filter("n > 0").distinct()
     lengths = sorted(r["n"] for r in sized.collect())  # at most WORDS values
     if not lengths:
