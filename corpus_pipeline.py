@@ -1,14 +1,58 @@
-"""Corpus pipeline."""
+"""From raw documents to packed training sequences, in five stages; each takes what the one before kept."""
 
 from __future__ import annotations
 
-STAGES: list = []
-#: SQL can't express the learned toxicity score or the tokenizer, so the stages are tested against brute force.
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry.llm import decontaminate, jaccard, line_dedup, packing, toxicity
+from quarry.llm.catalog import TOKENIZER
+from quarry.llm.common import materialize, read
+
+
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 3: rejected documents go. Evidence is learned from the labelled ones among docs."""
+    return toxicity.drop_toxic(docs, read(spark, sf_dir, "labels"))
+
+
+def line_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 5: boilerplate lines of a source go; every document stays."""
+    kept = line_dedup.drop_boilerplate(docs).drop("n_lines", "n_dropped")
+    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 10: one document of each group stays."""
+    return jaccard.keep_one(docs)
+
+
+def benchmark_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 4: documents that hold a benchmark item go."""
+    return decontaminate.drop_leaks(docs, read(spark, sf_dir, "benchmark"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 7: pieces of the remaining documents in training windows."""
+    return packing.pack(docs, TOKENIZER, with_ids=False)
+
+
+STAGES = [
+    ("toxicity", toxicity_filter),
+    ("line_dedup", line_filter),
+    ("ngram_jaccard", near_duplicates),
+    ("decontamination", benchmark_filter),
+    ("packing", packed),
+]
+
+#: SQL can't express the learned scores or the tokenizer; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents that the stages keep. Each stage's result but the last is written and read again."""
+    docs = read(spark, sf_dir, "documents")
+    for number, (name, stage) in enumerate(STAGES, 1):
         docs = stage(spark, docs, sf_dir)
+        if number < len(STAGES):
+            docs = materialize(docs, name)
     return docs
