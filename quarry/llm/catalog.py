@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import decontaminate, jaccard, line_dedup, lm, packing, secrets, tiff, toxicity, urls
+from quarry.llm import decontaminate, jaccard, line_dedup, lm, packing, secrets, substring_dedup, tiff, toxicity, urls
 from quarry.llm.common import read
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -15,6 +15,10 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(read(spark, sf_dir, "documents"))
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(read(spark, sf_dir, "documents"), with_text=False)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -54,6 +58,7 @@ def queries() -> dict:
 
     return {
         "op1_lm_scoring": op1_lm_scoring,
+        "op2_suffix_array_dedup": op2_suffix_array_dedup,
         "op3_toxicity": op3_toxicity,
         "op4_decontamination": op4_decontamination,
         "op5_line_dedup": op5_line_dedup,
