@@ -26,7 +26,7 @@ from quarry.llm.suffix_array import suffix_array
 
 LENGTH, PIECE = 100, 24
 #: Bytes of texts that a task takes together, and bytes of segments of a suffix array's block (whole anchor groups).
-BATCH_BYTES, BLOCK_BYTES = 8 << 20, 1 << 20
+BATCH_BYTES, BLOCK_BYTES = 2 << 20, 1 << 20
 WORD = 8
 #: Words that any string of LENGTH bytes holds whole, wherever it begins.
 WHOLE_WORDS = (LENGTH - WORD + 1) // WORD
@@ -50,7 +50,7 @@ class Hasher:
 
     def sums(self, data: np.ndarray) -> np.ndarray:
         if len(self.up) <= len(data):
-            n = max(2 * len(self.up), len(data) + 1)
+            n = len(data) + len(data) // 8 + 1
             self.up, self.down = _powers(self.base, n), _powers(self.inverse, n)
         return np.concatenate([[U64(0)], np.cumsum(self.up[: len(data)] * (data.astype(U64) + U64(1)), dtype=U64)])
 
