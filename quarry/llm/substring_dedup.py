@@ -21,7 +21,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialize, small_enough, text_or_empty
+from quarry.llm.common import materialize, text_or_empty
 from quarry.llm.suffix_array import suffix_array
 
 LENGTH, PIECE = 100, 24
@@ -251,8 +251,7 @@ def _settled(segments: DataFrame) -> DataFrame:
 def _fetched(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """(anchor, offset, doc, row, begin, bytes) of the segments in question."""
     lists = wanted.groupBy(F.col("row").alias("of_row")).agg(F.collect_list(F.struct("anchor", "offset", "begin", "end")).alias("segments"))
-    few = F.broadcast(lists) if small_enough(wanted, row_bytes=48) else lists
-    joined = rows.join(few, F.col("row") == F.col("of_row")).select("doc", "row", "segments", "text")
+    joined = rows.join(lists, F.col("row") == F.col("of_row")).select("doc", "row", "segments", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
