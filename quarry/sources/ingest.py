@@ -35,27 +35,45 @@ class Plan:
     date_format: str | None = None  # iso, mdy, dmy, epoch-s or epoch-ms
 
 
-#: What is counted of a column; each count but nulls is of non-null texts.
-COUNTS = {
-    "present": lambda s: F.lit(True), "numbers": tp.is_number, "wholes": tp.is_whole, "currency": lambda s: tp.is_number(s) & tp.has_currency(s),
-    "percent": lambda s: tp.is_number(s) & tp.has_percent(s), "grouped": lambda s: tp.is_number(s) & tp.has_groups(s),
-    "large_plain": lambda s: tp.is_whole(s) & ~tp.has_groups(s) & (F.abs(tp.number(s)) >= 1000), "unsafe": lambda s: tp.is_whole(s) & (F.abs(tp.number(s)) > SAFE_INTEGER),
-    "bools": tp.is_bool, "bool_words": lambda s: tp.is_bool(s) & ~s.isin("0", "1"), "dates": lambda s: tp.date(s).isNotNull(),
-    "iso": lambda s: tp.date(s).isNotNull() & (tp.date_shape(s) == "iso"), "first_day": lambda s: (tp.date_shape(s) == "slash") & (tp.first_short(s) > 12),
-    "second_day": lambda s: (tp.date_shape(s) == "slash") & (tp.second_short(s) > 12),
-}
-
-
 def evidence(texts: DataFrame, columns: list[str]) -> list[dict]:
-    """One dict of counts, and the extent of numbers, for each column of nullable texts; one job for all."""
-    exprs = []
+    """What decides each column's kind: counts of its non-null texts by form, and the extent of its numbers. One job for
+    numbers and booleans of all columns, and one for dates of those that may hold some."""
+    facts = []
     for k, c in enumerate(columns):
         s = F.col(f"`{c}`")
-        exprs += [F.count_if(s.isNotNull() & test(s)).alias(f"{name}{k}") for name, test in COUNTS.items()]
-        exprs += [F.min(tp.number(s)).alias(f"low{k}"), F.max(tp.number(s)).alias(f"high{k}"), F.sum(F.length(s)).alias(f"chars{k}"), F.sum(F.octet_length(s)).alias(f"bytes{k}"), F.approx_count_distinct(s).alias(f"about{k}")]
-    row = texts.agg(F.count(F.lit(1)).alias("rows"), *exprs).first()
-    names = [*COUNTS, "low", "high", "chars", "bytes", "about"]
-    return [{n: row[f"{n}{k}"] for n in names} | {"rows": row["rows"]} for k in range(len(columns))]
+        facts.append(
+            F.struct(
+                s.alias("s"), tp.number(s).alias("v"), tp.is_whole(s).alias("whole"), tp.has_currency(s).alias("currency"), tp.has_percent(s).alias("percent"), tp.has_groups(s).alias("grouped"), tp.is_bool(s).alias("bool"),
+            ).alias(f"x{k}")
+        )
+    exprs = []
+    for k in range(len(columns)):
+        x = F.col(f"x{k}")
+        number, n = x["v"].isNotNull(), f"{k}"
+        exprs += [
+            F.count(x["s"]).alias("present" + n), F.count_if(number).alias("numbers" + n), F.count_if(x["whole"]).alias("wholes" + n), F.count_if(number & x["currency"]).alias("currency" + n),
+            F.count_if(number & x["percent"]).alias("percent" + n), F.count_if(number & x["grouped"]).alias("grouped" + n), F.count_if(x["whole"] & ~x["grouped"] & (F.abs(x["v"]) >= 1000)).alias("large_plain" + n),
+            F.count_if(x["whole"] & (F.abs(x["v"]) > SAFE_INTEGER)).alias("unsafe" + n), F.count_if(x["bool"]).alias("bools" + n), F.count_if(x["bool"] & ~x["s"].isin("0", "1")).alias("bool_words" + n),
+            F.min(x["v"]).alias("low" + n), F.max(x["v"]).alias("high" + n), F.sum(F.length(x["s"])).alias("chars" + n), F.sum(F.octet_length(x["s"])).alias("bytes" + n), F.approx_count_distinct(x["s"]).alias("about" + n),
+        ]
+    row = texts.select(*facts).agg(F.count(F.lit(1)).alias("rows"), *exprs).first()
+    found = [{n: row[f"{n}{k}"] for n in _COUNTED} | dict.fromkeys(_DATES, 0) | {"rows": row["rows"]} for k in range(len(columns))]
+    open_ = [k for k, e in enumerate(found) if e["present"] and e["numbers"] < e["present"] and e["bools"] < e["present"]]
+    if open_:
+        held = [F.struct(tp.date_shape(F.col(f"`{columns[k]}`")).alias("shape"), tp.date(F.col(f"`{columns[k]}`")).isNotNull().alias("date"), F.col(f"`{columns[k]}`").alias("s")).alias(f"x{k}") for k in open_]
+        dates = []
+        for k in open_:
+            x = F.col(f"x{k}")
+            slash = x["shape"] == "slash"
+            dates += [F.count_if(x["date"]).alias(f"dates{k}"), F.count_if(x["date"] & (x["shape"] == "iso")).alias(f"iso{k}"), F.count_if(slash & (tp.first_short(x["s"]) > 12)).alias(f"first_day{k}"), F.count_if(slash & (tp.second_short(x["s"]) > 12)).alias(f"second_day{k}")]
+        row = texts.select(*held).agg(*dates).first()
+        for k in open_:
+            found[k] |= {n: row[f"{n}{k}"] for n in _DATES}
+    return found
+
+
+_COUNTED = ("present", "numbers", "wholes", "currency", "percent", "grouped", "large_plain", "unsafe", "bools", "bool_words", "low", "high", "chars", "bytes", "about")
+_DATES = ("dates", "iso", "first_day", "second_day")
 
 
 def decide(e: dict, header: str) -> Plan:
