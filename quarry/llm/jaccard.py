@@ -6,8 +6,10 @@ each band of set sizes; two linked sets differ in few enough shingles that some
 shingle where the band's allocation gives segments one-deletion neighbourhoods. Which of the two a band uses, and how
 many segments it has in reserve so that sets can leave out their emptiest ones, is chosen by cost from the band's counts.
 
-Sets with a common signature are verified against the bucket's least set, which is linear in the bucket; components
-follow, and only pairs of a bucket that lie in different components are verified after that, until none are left.
+Sets with a common signature are measured against the bucket's first set, which is linear in the bucket. Sets near one
+pivot are a cluster; what the pivots left unlinked there is compared with the whole cluster in blocks, as products of
+matrices; sets far from all of a bucket's pivots are compared pair by pair. So each candidate pair is verified exactly
+or lies in one component already, and no group's pairs are ever listed.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import materialize, small_enough, text_or_empty
@@ -32,8 +34,12 @@ PERCENT = 75
 SAMPLE, SAMPLE_OF = 3, 8
 CACHE_WORDS = 500_000
 BATCH_DOCS = 2000
-#: Rounds in which buckets are verified against one set each before all remaining pairs are.
-PIVOT_ROUNDS = 3
+#: Rounds in which each bucket's sets are measured against one of them, before all pairs of those still far from all.
+PIVOT_ROUNDS = 2
+#: Jaccard similarity to a pivot at which a set leaves its bucket's list, and at which it is in the pivot's cluster.
+CLOSE, NEAR = 0.55, 0.3
+#: Sets of a block's side, and shingles of a block's product at once.
+BLOCK_SETS, BLOCK_SHINGLES = 1024, 8192
 
 U64 = np.uint64
 
@@ -79,53 +85,63 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _profiles(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, n, d1, d2 of each row: the set's size and a 128-bit digest of it."""
+    """doc_id, text_hash, n, d1, d2, sample of each row: the set's size, a 128-bit digest of it, and six bytes of each
+    shingle in the sampled part of the universe."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for batch in batches:
-            n, d1, d2 = [], [], []
+            n, d1, d2, sample = [], [], [], []
             for text in batch.column(1).cast(pa.binary()).to_pylist():
                 s = shingler.shingles(text)
                 digest = xxhash.xxh128_intdigest(s.tobytes(), seed=len(s))
                 n.append(len(s)), d1.append(_signed(digest >> 64)), d2.append(_signed(digest & (1 << 64) - 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64())], names=["doc_id", "text_hash", "n", "d1", "d2"])
+                s = s[s % U64(SAMPLE_OF) < U64(SAMPLE)] >> U64(16)
+                sample.append(s.view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
+            columns = [batch.column(0), batch.column(2), *(pa.array(x, pa.int64()) for x in (n, d1, d2)), pa.array(sample, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "n", "d1", "d2", "sample"])
 
-    return _texts(docs).mapInArrow(run, "doc_id long, text_hash long, n long, d1 long, d2 long")
+    return _texts(docs).mapInArrow(run, "doc_id long, text_hash long, n long, d1 long, d2 long, sample binary")
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _lone_shingles(docs: DataFrame, parts: int) -> DataFrame:
-    """(d1, lone): how many shingles of the sampled universe only the class has. Many tasks combine their own first."""
+def _six(blob: bytes, n: int) -> np.ndarray:
+    """Numbers of six bytes each."""
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :6] = np.frombuffer(blob, np.uint8, 6 * n).reshape(n, 6)
+    return out.view("<u8").reshape(-1)
+
+
+def _lone_shingles(profiles: DataFrame, parts: int) -> DataFrame:
+    """(d1, lone): how many shingles of the sampled universe only the class has. Many tasks combine their own first.
+
+    Six bytes of a shingle will do: shingles taken for one another only make fewer lone ones.
+    """
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, tokens, digests = Shingler(), [], []
+        tokens, digests = [], []
 
         def flush():
-            token, digest = np.concatenate(tokens), np.repeat(np.array([d for d, _ in digests], np.int64), [n for _, n in digests])
-            token, low, high = _extremes(token, digest)
+            sizes = [len(t) // 6 for t in tokens]
+            token, low, high = _extremes(_six(b"".join(tokens), sum(sizes)), np.repeat(np.array(digests, np.int64), sizes))
             twice = low != high
             token, digest = np.concatenate([token, token[twice]]), np.concatenate([low, high[twice]])
-            part = (token >> U64(40)) % U64(parts)
+            part = (token >> U64(24)) % U64(parts)
             order = np.argsort(part.astype(np.int32), kind="stable")
-            part, digest = part[order], digest[order]
-            # six bytes of a token will do: tokens taken for one another only make fewer lone ones
-            six = (token[order] >> U64(16)).view(np.uint8).reshape(-1, 8)[:, :6]
+            part, digest, six = part[order], digest[order], token[order].view(np.uint8).reshape(-1, 8)[:, :6]
             begins = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, int)
             packed = [six[a:b].tobytes() + digest[a:b].tobytes() for a, b in zip(begins, np.append(begins[1:], len(part)), strict=True)]
             return pa.RecordBatch.from_arrays([pa.array(part[begins].astype(np.int32), pa.int32()), pa.array(packed, pa.binary())], names=["part", "pairs"])
 
         for batch in batches:
-            for text in batch.column(1).cast(pa.binary()).to_pylist():
-                s = shingler.shingles(text)
-                digest = _signed(xxhash.xxh128_intdigest(s.tobytes(), seed=len(s)) >> 64)
-                s = s[s % U64(SAMPLE_OF) < U64(SAMPLE)]
-                tokens.append(s), digests.append((digest, len(s)))
-                if len(tokens) >= BATCH_DOCS:
-                    yield flush()
-                    tokens.clear(), digests.clear()
+            tokens += batch.column(1).to_pylist()
+            digests += batch.column(0).to_pylist()
+            if len(tokens) >= BATCH_DOCS:
+                yield flush()
+                tokens.clear(), digests.clear()
         if tokens:
             yield flush()
 
@@ -134,16 +150,14 @@ def _lone_shingles(docs: DataFrame, parts: int) -> DataFrame:
         for batch in batches:
             for blob in batch.column(1).to_pylist():
                 n = len(blob) // 14
-                six = np.zeros((n, 8), np.uint8)
-                six[:, :6] = np.frombuffer(blob, np.uint8, 6 * n).reshape(n, 6)
-                tokens.append(six.view("<u8").reshape(-1)), digests.append(np.frombuffer(blob, "<i8", n, 6 * n))
+                tokens.append(_six(blob, n)), digests.append(np.frombuffer(blob, "<i8", n, 6 * n))
         if tokens:
             _, low, high = _extremes(np.concatenate(tokens), np.concatenate(digests))
             digest, lone = np.unique(low[low == high], return_counts=True)
             for at in range(0, len(digest), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(digest[at : at + 50_000], pa.int64()), pa.array(lone[at : at + 50_000], pa.int64())], names=["d1", "lone"])
 
-    dealt = _texts(docs).mapInArrow(deal, "part int, pairs binary").repartition(parts, "part")
+    dealt = profiles.filter("n > 0").select("d1", "sample").mapInArrow(deal, "part int, pairs binary").repartition(parts, "part")
     return dealt.mapInArrow(count, "d1 long, lone long").groupBy("d1").agg(F.sum("lone").alias("lone"))
 
 
@@ -261,66 +275,142 @@ def _keys(sets: DataFrame, starts: list[int], plans: dict[int, Plan]) -> DataFra
     return sets.select("cid", "tokens").mapInArrow(run, "key long, cid long")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, linked) of pairs (a, b), by exact intersection of their sets."""
+def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, common, total) of pairs (a, b): exact sizes of the intersection and the union of their sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked = []
+            common, total = [], []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 both = np.concatenate([np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")])
                 both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                linked.append(100 * common >= PERCENT * (len(both) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
-
-    of_a = sets.select(F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("tokens_a"))
-    of_b = sets.select(F.col("cid").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("tokens_b"))
-    fits = (F.col("n_a") * 100 >= F.col("n_b") * PERCENT) & (F.col("n_b") * 100 >= F.col("n_a") * PERCENT)
-    sized = pairs.join(of_a.drop("tokens_a"), "a").join(of_b.drop("tokens_b"), "b").filter(fits).select("a", "b")
-    return sized.join(of_b, "b").join(of_a, "a").select("a", "b", "tokens_a", "tokens_b").mapInArrow(run, "a long, b long, linked boolean")
-
-
-def _links(keys: DataFrame, sets: DataFrame) -> DataFrame:
-    """(node, component) of the sets with links. Rounds verify each bucket's sets against one of another component, and
-    the last verifies all pairs of a bucket that still lie in different components."""
-    labelled = keys.select("key", "cid", F.col("cid").alias("comp"))
-    done, links, member = None, None, None
-    for number in range(PIVOT_ROUNDS + 1):
-        mixed = labelled.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
-        # least sets first, then by other orders
-        order = F.col("cid") if number == 0 else F.xxhash64("cid", F.lit(number))
-        if number < PIVOT_ROUNDS:
-            pivots = labelled.groupBy("key").agg(F.min(F.struct(order.alias("o"), "cid", "comp")).alias("p"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
-            met = labelled.join(pivots.select("key", F.col("p.cid").alias("pivot"), F.col("p.comp").alias("of")), "key").filter(F.col("comp") != F.col("of"))
-            pairs = met.select(F.least("pivot", "cid").alias("a"), F.greatest("pivot", "cid").alias("b"))
-        else:
-            open_ = labelled.join(mixed.select("key"), "key", "left_semi")
-            left, right = open_.select("key", F.col("cid").alias("a"), F.col("comp").alias("of_a")), open_.select("key", F.col("cid").alias("b"), F.col("comp").alias("of_b"))
-            pairs = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("of_a") != F.col("of_b"))).select("a", "b")
-        pairs = pairs.distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        if pairs.isEmpty():
-            if number < PIVOT_ROUNDS:
-                continue
-            break
-        checked = materialize(_verified(pairs, sets), "checked")
-        done = pairs if done is None else done.union(pairs)
-        found = checked.filter("linked").select("a", "b")
-        if not found.isEmpty():
-            links = found if links is None else links.union(found)
-            member = materialize(components(links), "members")
-        if member is None:
-            continue
-        small = F.broadcast(member) if small_enough(member, row_bytes=48) else member
-        now = keys.join(small.withColumnRenamed("node", "cid"), "cid", "left").select("key", "cid", F.coalesce("component", "cid").alias("comp"))
-        # buckets of one component are closed
-        if number < PIVOT_ROUNDS:
-            split = now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("key")
-            labelled = materialize(now.join(split, "key", "left_semi"), "open")
-    return member
+                common.append(int((both[1:] == both[:-1]).sum()))
+                total.append(len(both) - common[-1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(total, pa.int64())], names=["a", "b", "common", "total"])
+
+    of_a = sets.select(F.col("cid").alias("a"), F.col("tokens").alias("tokens_a"))
+    of_b = sets.select(F.col("cid").alias("b"), F.col("tokens").alias("tokens_b"))
+    return pairs.join(of_b, "b").join(of_a, "a").select("a", "b", "tokens_a", "tokens_b").mapInArrow(run, "a long, b long, common long, total long")
+
+
+def _is_link() -> Column:
+    return 100 * F.col("common") >= PERCENT * F.col("total")
+
+
+def _met(keys: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Measured pairs of sets with a common key, (a, b, common, total), in two tables: of each bucket's sets with its
+    pivots, and of all pairs of sets that were near no pivot of their bucket.
+
+    A set leaves a bucket's list once it is CLOSE to a pivot. A set that links with it is then at least NEAR that pivot
+    (Jaccard distance obeys the triangle inequality, and a link is at most 1/4 long), so both are in one cluster.
+    """
+    open_, known = keys, None
+    for _ in range(PIVOT_ROUNDS):
+        # the least number is the set with the smallest share of lone shingles: what copies were made of
+        pivots = open_.groupBy("key").agg(F.min("cid").alias("a"), F.max("cid").alias("last")).filter("a < last").drop("last")
+        met = materialize(open_.join(pivots, "key").filter("cid != a").withColumnRenamed("cid", "b"), "met")
+        pairs = met.select("a", "b").distinct()
+        pairs = pairs if known is None else pairs.join(known, ["a", "b"], "left_anti")
+        measured = materialize(_measured(pairs, sets), "measured")
+        known = measured if known is None else known.union(measured)
+        close = known.filter(F.col("common") >= CLOSE * F.col("total")).select("a", "b")
+        open_ = met.join(close, ["a", "b"], "left_anti").select("key", F.col("b").alias("cid"))
+    open_ = materialize(open_, "far")
+    left, right = open_.withColumnRenamed("cid", "a"), open_.withColumnRenamed("cid", "b")
+    sizes = sets.select("cid", "n")
+    pairs = left.join(right, "key").filter("a < b").select("a", "b").distinct()
+    pairs = pairs.join(sizes.select(F.col("cid").alias("a"), F.col("n").alias("n_a")), "a").join(sizes.select(F.col("cid").alias("b"), F.col("n").alias("n_b")), "b")
+    pairs = pairs.filter((F.col("n_a") * 100 >= F.col("n_b") * PERCENT) & (F.col("n_b") * 100 >= F.col("n_a") * PERCENT)).select("a", "b")
+    return known, materialize(_measured(pairs, sets), "far-measured")
+
+
+def _block_links(rows: list[tuple[int, int, bytes]], columns: list[tuple[int, int, bytes]]) -> list[tuple[int, int]]:
+    """Links between sets of different components, as a forest: of rows (cid, component, tokens) with columns, from one
+    product of matrices over the shingles that both sides have."""
+    of = [np.frombuffer(t, "<u8") for _, _, t in rows], [np.frombuffer(t, "<u8") for _, _, t in columns]
+    both = np.intersect1d(np.unique(np.concatenate(of[0])), np.unique(np.concatenate(of[1])), assume_unique=True)
+    common = np.zeros((len(rows), len(columns)), np.float32)
+
+    def places(side: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        owner, token = np.repeat(np.arange(len(side)), [len(x) for x in side]), np.concatenate(side)
+        at = np.searchsorted(both, token)
+        found = (at < len(both)) & (both[np.minimum(at, len(both) - 1)] == token) if len(both) else np.zeros(len(token), bool)
+        return owner[found], at[found]
+
+    (r_owner, r_at), (c_owner, c_at) = places(of[0]), places(of[1])
+    for begin in range(0, len(both), BLOCK_SHINGLES):
+        width = min(BLOCK_SHINGLES, len(both) - begin)
+        sides = []
+        for owner, at, count in ((r_owner, r_at, len(rows)), (c_owner, c_at, len(columns))):
+            pick = (at >= begin) & (at < begin + width)
+            side = np.zeros((count, width), np.float32)
+            side[owner[pick], at[pick] - begin] = 1
+            sides.append(side)
+        common += sides[0] @ sides[1].T
+    total = np.array([len(x) for x in of[0]])[:, None] + np.array([len(x) for x in of[1]])[None, :] - common
+    apart = np.array([c for _, c, _ in rows])[:, None] != np.array([c for _, c, _ in columns])[None, :]
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    links = []
+    for i, j in np.argwhere(apart & (100 * common >= PERCENT * total)).tolist():
+        a, b = root(rows[i][1]), root(columns[j][1])
+        if a != b:
+            parent[a] = b
+            links.append((rows[i][0], columns[j][0]))
+    return links
+
+
+def _within_clusters(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): links between the components of a cluster, from members (cid, cluster, component). All but the cluster's
+    largest component are compared with everything in it, in blocks of bounded size that any number of tasks can share."""
+    parts = members.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("k"))
+    largest = parts.groupBy("cluster").agg(F.max(F.struct("k", "component")).alias("top"), F.count(F.lit(1)).alias("components"), F.sum("k").alias("size"))
+    mixed = largest.filter("components > 1").select("cluster", F.col("top.component").alias("main"), F.col("size").alias("size"), (F.col("size") - F.col("top.k")).alias("minor"))
+    blocks = lambda n: F.ceil(F.col(n) / F.lit(BLOCK_SETS)).cast("int")
+    few = F.broadcast(mixed) if small_enough(mixed, row_bytes=64) else mixed
+    placed = members.join(few, "cluster").join(sets.select("cid", "tokens"), "cid")
+    spot = lambda n: F.pmod(F.xxhash64("cid"), blocks(n)).cast("int")
+    ever = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+    column = placed.select("cluster", ever("minor").alias("i"), spot("size").alias("j"), F.lit(1).alias("side"), "cid", "component", "tokens")
+    row = placed.filter("component != main").select("cluster", spot("minor").alias("i"), ever("size").alias("j"), F.lit(0).alias("side"), "cid", "component", "tokens")
+    dealt = row.unionByName(column).repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "side")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sides, found = None, ([], []), []
+
+        def settle():
+            if sides[0] and sides[1]:
+                found.extend(_block_links(*sides))
+
+        for batch in batches:
+            for cluster, i, j, side, *entry in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+                if (cluster, i, j) != now:
+                    settle()
+                    now, sides = (cluster, i, j), ([], [])
+                sides[side].append(tuple(entry))
+        settle()
+        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def _links(keys: DataFrame, sets: DataFrame) -> DataFrame | None:
+    """(node, component) of the sets with links; None without any."""
+    known, far = _met(keys, sets)
+    links = materialize(known.union(far).filter(_is_link()).select("a", "b"), "links")
+    linked = components(links)
+    clusters = materialize(components(known.filter(F.col("common") >= NEAR * F.col("total"))), "clusters")
+    members = clusters.withColumnRenamed("component", "cluster").join(linked, "node", "left")
+    members = materialize(members.select(F.col("node").alias("cid"), "cluster", F.coalesce("component", "node").alias("component")), "members")
+    more = materialize(_within_clusters(members, sets), "more-links")
+    if not more.isEmpty():
+        linked = components(links.union(more))
+    return linked
 
 
 def link(docs: DataFrame) -> DataFrame:
@@ -337,12 +427,12 @@ def link(docs: DataFrame) -> DataFrame:
     classes = profiles.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "text_hash")).alias("rep"))
     classes = materialize(classes, "classes")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    lone = _lone_shingles(docs, parts)
+    lone = _lone_shingles(profiles, parts)
     # a digest that two classes share counts nothing as lone
     shared = classes.groupBy("d1").agg(F.count(F.lit(1)).alias("sharers"))
     known = classes.join(lone, "d1", "left").join(shared, "d1").withColumn("lone", F.when(F.col("sharers") == 1, F.coalesce("lone", F.lit(0))).otherwise(0))
-    alive = known.filter(100 * (F.col("n") - F.col("lone")) >= PERCENT * F.col("n")).select("d1", "d2", "n", "least_id", "rep")
-    alive = materialize(alive, "alive").withColumn("cid", F.monotonically_increasing_id())
+    alive = known.filter(100 * (F.col("n") - F.col("lone")) >= PERCENT * F.col("n")).select("d1", "d2", "n", "least_id", "rep", (F.col("lone") * 1000 / F.col("n")).cast("long").alias("share"))
+    alive = materialize(alive, "alive").withColumn("cid", F.shiftleft("share", 50) + F.monotonically_increasing_id()).drop("share")
     alive = materialize(alive, "numbered")
     sets = materialize(_sets(docs, alive).dropDuplicates(["cid"]), "sets")
     largest = sets.agg(F.max("n")).first()[0]
