@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,3 +78,15 @@ def small_enough(df: DataFrame, row_bytes: int, limit: int = BROADCAST_LIMIT_BYT
     """Whether df, a materialised table, fits a broadcast: it counts rows, at row_bytes each, and stops at the limit."""
     most = limit // row_bytes
     return df.limit(most + 1).count() <= most
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Holds the rows of an Arrow batch down while jobs over wide rows run, so that a batch stays small."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

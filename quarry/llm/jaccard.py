@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialize, small_enough, text_or_empty
+from quarry.llm.common import arrow_rows, materialize, small_enough, text_or_empty
 from quarry.llm.graph import components
 
 WORDS = 5
@@ -34,6 +34,12 @@ PERCENT = 75
 SAMPLE, SAMPLE_OF = 3, 8
 CACHE_WORDS = 500_000
 BATCH_DOCS = 2000
+#: Rows of an Arrow batch where rows hold whole sets.
+WIDE_ROWS = 200
+#: Rows written that cost as much as measuring a pair.
+PAIR_ROWS = 20
+#: Shingles whose frequency signatures are told: those in so many sets, or in more, so that there are at most MOST_FREQUENT.
+FREQUENT, MOST_FREQUENT = 20, 500_000
 #: Rounds in which each bucket's sets are measured against one of them, before all pairs of those still far from all.
 PIVOT_ROUNDS = 2
 #: Jaccard similarity to a pivot at which a set leaves its bucket's list, and at which it is in the pivot's cluster.
@@ -190,31 +196,60 @@ def band_starts(largest: int) -> list[int]:
     return starts
 
 
+def _beyond(mean: float, spare: int) -> float:
+    """How much a Poisson number of this mean exceeds spare, on average."""
+    if mean <= 0:
+        return 0.0
+    term, total = math.exp(-min(mean, 700)), 0.0
+    for x in range(int(mean + 12 * math.sqrt(mean) + spare + 12)):
+        total += max(x - spare, 0) * term
+        term *= mean / (x + 1)
+    return total
+
+
 def allocate(size: int, sets: int) -> Plan:
     """The cheapest plan for sets of up to this size when so many of them meet: rows written, and pairs of unlike sets
-    that agree because both have nothing in a segment that neither could leave out."""
+    that agree because both have nothing (or, where a shingle may differ, one at most) in a segment that neither could
+    leave out."""
     # linked sets of sizes a and b differ in at most (a + b) * (100 - PERCENT) / (100 + PERCENT) shingles
     need = 1 + 2 * size * (100 - PERCENT) // (100 + PERCENT)
     best, least = Plan(need, 0), math.inf
-    for reserve in (0.0, 0.15, 0.35, 0.7):
+    for reserve in (0.0, 0.15, 0.35, 0.7, 1.2):
         worth = need + math.ceil(reserve * need)
         for loose in {0, worth // 4, worth // 2}:
             plan = Plan(worth - 2 * loose, loose)
             segments = plan.whole + plan.loose
             mean = size / segments
-            spare = (worth - need) / 2
-            empty = segments * math.exp(-mean)
-            left = 0.5 * math.erfc((spare + 0.5 - empty) / math.sqrt(2 * max(empty, 0.05)))
-            near = math.exp(-2 * mean) * (1 + 2 * mean * loose / segments)
-            rows = sets * (segments - spare + loose * mean)
-            cost = rows + 4.0 * sets * sets * segments * near * left * left
+            spare = math.floor((worth - 1) / 2 - size * (100 - PERCENT) / (100 + PERCENT))
+            none = (1 - 1 / segments) ** size
+            one = size / segments * (1 - 1 / segments) ** (size - 1)
+            # segments kept although they tell nothing
+            weak = plan.whole * none + plan.loose * (none + one)
+            kept = _beyond(weak, max(spare, 0) * segments // worth) / segments
+            rows = sets * (segments - max(spare, 0) * segments / worth + loose * mean)
+            cost = rows + PAIR_ROWS / 2 * sets * sets * segments * kept * kept
             if cost < least:
                 best, least = plan, cost
     return best
 
 
-def signatures(tokens: np.ndarray, band: int, plan: Plan) -> np.ndarray:
-    """The keys of one set in one band's plan. A set leaves out segments, emptiest first, worth its share of the reserve."""
+class Frequent(NamedTuple):
+    """Frequent shingles in order, and in how many sets each is."""
+
+    tokens: np.ndarray
+    sets: np.ndarray
+
+    def of(self, tokens: np.ndarray) -> np.ndarray:
+        """How many sets hold each token; 1 for those that aren't frequent."""
+        if not len(self.tokens):
+            return np.ones(len(tokens), np.int64)
+        at = np.minimum(np.searchsorted(self.tokens, tokens), len(self.tokens) - 1)
+        return np.where(self.tokens[at] == tokens, self.sets[at], 1)
+
+
+def signatures(tokens: np.ndarray, band: int, plan: Plan, frequent: Frequent) -> np.ndarray:
+    """The keys of one set in one band's plan. A set leaves out segments worth its share of the reserve: empty ones, then
+    those that most other sets can have, which is at most as many as have the rarest of a segment's shingles."""
     segments = plan.whole + plan.loose
     spare = math.floor((plan.worth - 1) / 2 - len(tokens) * (100 - PERCENT) / (100 + PERCENT))
     hashed = _mix(tokens ^ U64(band * 0x51_7C_C1_B7))
@@ -225,9 +260,11 @@ def signatures(tokens: np.ndarray, band: int, plan: Plan) -> np.ndarray:
     begins = np.concatenate([[0], np.cumsum(count)[:-1]])
     running = np.concatenate([[U64(0)], np.cumsum(hashed, dtype=U64)])
     sums = running[begins + count] - running[begins]
+    sharers = np.full(segments, np.iinfo(np.int64).max)
+    np.minimum.at(sharers, segment, frequent.of(tokens[order]))
     worth = np.where(np.arange(segments) < plan.whole, 1, 2)
-    by_size = np.argsort(count, kind="stable")
-    left_out = by_size[np.cumsum(worth[by_size]) <= spare]
+    by_cost = np.lexsort((count, -sharers))
+    left_out = by_cost[np.cumsum(worth[by_cost]) <= spare]
     kept = np.ones(segments, bool)
     kept[left_out] = False
     mark = _mix(np.arange(segments, dtype=U64) + U64(band << 32))
@@ -238,6 +275,55 @@ def signatures(tokens: np.ndarray, band: int, plan: Plan) -> np.ndarray:
     return np.unique(np.concatenate(keys))
 
 
+def _frequent(sets: DataFrame, parts: int) -> Frequent:
+    """Shingles in many sets: as few as the least frequency implies, whatever the table's size."""
+    total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    least = max(FREQUENT, -(-total // MOST_FREQUENT))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush():
+            token, n = np.unique(np.concatenate(held), return_counts=True)
+            part = (token >> U64(24)) % U64(parts)
+            order = np.argsort(part.astype(np.int32), kind="stable")
+            part, token, n = part[order], token[order], n[order].astype("<u4")
+            begins = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+            packed = [token[a:b].tobytes() + n[a:b].tobytes() for a, b in zip(begins, np.append(begins[1:], len(part)), strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(part[begins].astype(np.int32), pa.int32()), pa.array(packed, pa.binary())], names=["part", "counts"])
+
+        for batch in batches:
+            for blob in batch.column(0).to_pylist():
+                held.append(np.frombuffer(blob, "<u8"))
+                size += len(held[-1])
+                if size >= 1_000_000:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, counts = [], []
+        for batch in batches:
+            for blob in batch.column(1).to_pylist():
+                n = len(blob) // 12
+                tokens.append(np.frombuffer(blob, "<u8", n)), counts.append(np.frombuffer(blob, "<u4", n, 8 * n))
+        if tokens:
+            token, n = np.concatenate(tokens), np.concatenate(counts).astype(np.int64)
+            order = np.argsort(token, kind="stable")
+            token, n = token[order], n[order]
+            begins = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            token, n = token[begins], np.add.reduceat(n, begins)
+            many = n >= least
+            yield pa.RecordBatch.from_arrays([pa.array(token[many].view(np.int64)), pa.array(n[many])], names=["token", "n"])
+
+    dealt = sets.select("tokens").mapInArrow(deal, "part int, counts binary").repartition(parts, "part")
+    rows = dealt.mapInArrow(count, "token long, n long").toPandas()  # total / least rows at most
+    tokens = rows["token"].to_numpy(np.int64).view(U64)
+    order = np.argsort(tokens)
+    return Frequent(tokens[order], rows["n"].to_numpy(np.int64)[order])
+
+
 def _sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(cid, n, tokens) of each class, from the text of its representative row."""
 
@@ -254,8 +340,9 @@ def _sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
     return found.select("cid", "text").mapInArrow(run, "cid long, n long, tokens binary")
 
 
-def _keys(sets: DataFrame, starts: list[int], plans: dict[int, Plan]) -> DataFrame:
+def _keys(sets: DataFrame, starts: list[int], plans: dict[int, Plan], frequent: Frequent) -> DataFrame:
     """(key, cid): signatures of each set in its own band, and in the next one if linked sets can lie there."""
+    common = sets.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -265,7 +352,7 @@ def _keys(sets: DataFrame, starts: list[int], plans: dict[int, Plan]) -> DataFra
                 band = int(np.searchsorted(starts, len(tokens), side="right")) - 1
                 for b in (band, band + 1):
                     if b in plans and (b == band or len(tokens) * 100 // PERCENT >= starts[b]):
-                        keys.append(signatures(tokens, b, plans[b]))
+                        keys.append(signatures(tokens, b, plans[b], common.value))
                         cids.append(np.full(len(keys[-1]), cid, np.int64))
             if keys:
                 key, cid = np.concatenate(keys).view(np.int64), np.concatenate(cids)
@@ -311,7 +398,8 @@ def _met(keys: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
         met = materialize(open_.join(pivots, "key").filter("cid != a").withColumnRenamed("cid", "b"), "met")
         pairs = met.select("a", "b").distinct()
         pairs = pairs if known is None else pairs.join(known, ["a", "b"], "left_anti")
-        measured = materialize(_measured(pairs, sets), "measured")
+        with arrow_rows(sets.sparkSession, WIDE_ROWS):
+            measured = materialize(_measured(pairs, sets), "measured")
         known = measured if known is None else known.union(measured)
         close = known.filter(F.col("common") >= CLOSE * F.col("total")).select("a", "b")
         open_ = met.join(close, ["a", "b"], "left_anti").select("key", F.col("b").alias("cid"))
@@ -321,7 +409,8 @@ def _met(keys: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs = left.join(right, "key").filter("a < b").select("a", "b").distinct()
     pairs = pairs.join(sizes.select(F.col("cid").alias("a"), F.col("n").alias("n_a")), "a").join(sizes.select(F.col("cid").alias("b"), F.col("n").alias("n_b")), "b")
     pairs = pairs.filter((F.col("n_a") * 100 >= F.col("n_b") * PERCENT) & (F.col("n_b") * 100 >= F.col("n_a") * PERCENT)).select("a", "b")
-    return known, materialize(_measured(pairs, sets), "far-measured")
+    with arrow_rows(sets.sparkSession, WIDE_ROWS):
+        return known, materialize(_measured(pairs, sets), "far-measured")
 
 
 def _block_links(rows: list[tuple[int, int, bytes]], columns: list[tuple[int, int, bytes]]) -> list[tuple[int, int]]:
@@ -407,7 +496,8 @@ def _links(keys: DataFrame, sets: DataFrame) -> DataFrame | None:
     clusters = materialize(components(known.filter(F.col("common") >= NEAR * F.col("total"))), "clusters")
     members = clusters.withColumnRenamed("component", "cluster").join(linked, "node", "left")
     members = materialize(members.select(F.col("node").alias("cid"), "cluster", F.coalesce("component", "node").alias("component")), "members")
-    more = materialize(_within_clusters(members, sets), "more-links")
+    with arrow_rows(sets.sparkSession, WIDE_ROWS):
+        more = materialize(_within_clusters(members, sets), "more-links")
     if not more.isEmpty():
         linked = components(links.union(more))
     return linked
@@ -434,7 +524,8 @@ def link(docs: DataFrame) -> DataFrame:
     alive = known.filter(100 * (F.col("n") - F.col("lone")) >= PERCENT * F.col("n")).select("d1", "d2", "n", "least_id", "rep", (F.col("lone") * 1000 / F.col("n")).cast("long").alias("share"))
     alive = materialize(alive, "alive").withColumn("cid", F.shiftleft("share", 50) + F.monotonically_increasing_id()).drop("share")
     alive = materialize(alive, "numbered")
-    sets = materialize(_sets(docs, alive).dropDuplicates(["cid"]), "sets")
+    with arrow_rows(spark, 1000):
+        sets = materialize(_sets(docs, alive).dropDuplicates(["cid"]), "sets")
     largest = sets.agg(F.max("n")).first()[0]
     result = None
     if largest:
@@ -444,7 +535,7 @@ def link(docs: DataFrame) -> DataFrame:
             band = F.when(F.col("n") >= s, k).otherwise(band)
         sizes = {r["band"]: r["count"] for r in sets.groupBy(band.alias("band")).count().collect()}  # as many as bands: the log of the largest size
         plans = {b: allocate(starts[b + 1] - 1 if b + 1 < len(starts) else starts[b], sizes.get(b, 0) + sizes.get(b - 1, 0)) for b in sizes}
-        keys = materialize(_keys(sets, starts, plans), "keys")
+        keys = materialize(_keys(sets, starts, plans, _frequent(sets, parts)), "keys")
         result = _links(keys, sets)
     if result is not None:
         of_class = alive.join(result.withColumnRenamed("node", "cid"), "cid")
