@@ -8,7 +8,7 @@ many segments it has in reserve so that sets can leave out their emptiest ones,
 
 Sets with a common signature are measured against the bucket's first set, which is linear in the bucket. Sets near one
 pivot are a cluster; what the pivots left unlinked there is compared with the whole cluster in blocks, as products of
-matrices; sets far from all of a bucket's pivots are compared pair by pair. So each candidate pair is verified exactly
+matrices; sets far from all of a bucket's pivots are compared pair by pair if few, else in blocks as well. So each candidate pair is verified exactly
 or lies in one component already, and no group's pairs are ever listed.
 """
 
@@ -45,7 +45,9 @@ PIVOT_ROUNDS = 2
 #: Jaccard similarity to a pivot at which a set leaves its bucket's list, and at which it is in the pivot's cluster.
 CLOSE, NEAR = 0.55, 0.3
 #: Sets of a block's side, and shingles of a block's product at once.
-BLOCK_SETS, BLOCK_SHINGLES = 1024, 8192
+BLOCK_SETS, BLOCK_SHINGLES = 2048, 4096
+#: Sets of a bucket that are close to no pivot and yet compared pair by pair: so many at most, or else in blocks.
+FEW = 16
 
 U64 = np.uint64
 
@@ -384,9 +386,10 @@ def _is_link() -> Column:
     return 100 * F.col("common") >= PERCENT * F.col("total")
 
 
-def _met(keys: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _met(keys: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Measured pairs of sets with a common key, (a, b, common, total), in two tables: of each bucket's sets with its
-    pivots, and of all pairs of sets that were near no pivot of their bucket.
+    pivots, and of all pairs of sets that were close to no pivot of their bucket, where it has few. Where it has many, they are
+    returned as edges (a, b) to the first of them, to be compared as a cluster.
 
     A set leaves a bucket's list once it is CLOSE to a pivot. A set that links with it is then at least NEAR that pivot
     (Jaccard distance obeys the triangle inequality, and a link is at most 1/4 long), so both are in one cluster.
@@ -403,14 +406,18 @@ def _met(keys: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
         known = measured if known is None else known.union(measured)
         close = known.filter(F.col("common") >= CLOSE * F.col("total")).select("a", "b")
         open_ = met.join(close, ["a", "b"], "left_anti").select("key", F.col("b").alias("cid"))
-    open_ = materialize(open_, "far")
-    left, right = open_.withColumnRenamed("cid", "a"), open_.withColumnRenamed("cid", "b")
+    counted = open_.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("cid").alias("first")).filter("k > 1")
+    open_ = materialize(open_.join(counted, "key"), "far")
+    crowd = open_.filter(F.col("k") > FEW).filter("cid != first").select(F.col("first").alias("a"), F.col("cid").alias("b")).distinct()
+    few = open_.filter(F.col("k") <= FEW).select("key", "cid")
+    left, right = few.withColumnRenamed("cid", "a"), few.withColumnRenamed("cid", "b")
     sizes = sets.select("cid", "n")
     pairs = left.join(right, "key").filter("a < b").select("a", "b").distinct()
+    pairs = pairs.join(known, ["a", "b"], "left_anti")
     pairs = pairs.join(sizes.select(F.col("cid").alias("a"), F.col("n").alias("n_a")), "a").join(sizes.select(F.col("cid").alias("b"), F.col("n").alias("n_b")), "b")
     pairs = pairs.filter((F.col("n_a") * 100 >= F.col("n_b") * PERCENT) & (F.col("n_b") * 100 >= F.col("n_a") * PERCENT)).select("a", "b")
     with arrow_rows(sets.sparkSession, WIDE_ROWS):
-        return known, materialize(_measured(pairs, sets), "far-measured")
+        return known, materialize(_measured(pairs, sets), "far-measured"), crowd
 
 
 def _block_links(rows: list[tuple[int, int, bytes]], columns: list[tuple[int, int, bytes]]) -> list[tuple[int, int]]:
@@ -490,16 +497,18 @@ def _within_clusters(members: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _links(keys: DataFrame, sets: DataFrame) -> DataFrame | None:
     """(node, component) of the sets with links; None without any."""
-    known, far = _met(keys, sets)
+    known, far, crowd = _met(keys, sets)
     links = materialize(known.union(far).filter(_is_link()).select("a", "b"), "links")
     linked = components(links)
-    clusters = materialize(components(known.filter(F.col("common") >= NEAR * F.col("total"))), "clusters")
-    members = clusters.withColumnRenamed("component", "cluster").join(linked, "node", "left")
-    members = materialize(members.select(F.col("node").alias("cid"), "cluster", F.coalesce("component", "node").alias("component")), "members")
-    with arrow_rows(sets.sparkSession, WIDE_ROWS):
-        more = materialize(_within_clusters(members, sets), "more-links")
-    if not more.isEmpty():
-        linked = components(links.union(more))
+    for edges in (known.filter(F.col("common") >= NEAR * F.col("total")).select("a", "b"), crowd):
+        clusters = components(edges)
+        members = clusters.withColumnRenamed("component", "cluster").join(linked, "node", "left")
+        members = materialize(members.select(F.col("node").alias("cid"), "cluster", F.coalesce("component", "node").alias("component")), "members")
+        with arrow_rows(sets.sparkSession, WIDE_ROWS):
+            more = materialize(_within_clusters(members, sets), "more-links")
+        if not more.isEmpty():
+            links = links.union(more)
+            linked = components(links)
     return linked
 
 
