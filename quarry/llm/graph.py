@@ -1,4 +1,4 @@
-"""Connected components of a distributed graph, by least labels over edges and over labels' own labels."""
+"""Connected components of a distributed graph, by contraction towards least nodes."""
 
 from __future__ import annotations
 
@@ -7,28 +7,38 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import materialize
 
-#: Rounds after which the labels of any graph a run can hold have met; each round at least halves long paths.
+#: Rounds in which any graph that a run can hold is contracted; each round removes all but local minima.
 MOST_ROUNDS = 200
 
 
 def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """(node, component) for every node of an edge; component is the least node reachable. Nulls and loops are dropped.
 
-    Each round takes the least label of a node's neighbours, then the label of that label, so path lengths shrink
-    geometrically. Rounds are tables in the shared folder. Minima combine before the shuffle, so a hub costs no more
-    than its edges; no edges give no rows.
+    Each round every node moves to its least smaller neighbour, and on to where that one moved; edges are rewritten, and
+    only those between different nodes stay, so a round's edges are few after the first. Rounds are tables in the shared
+    folder. Minima combine before the shuffle, so a hub costs no more than its edges; no edges give no rows.
     """
     a, b = F.col(left), F.col(right)
-    one_way = edges.filter(a.isNotNull() & b.isNotNull() & (a != b)).select(a.alias("src"), b.alias("dst"))
-    both = materialize(one_way.union(one_way.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "edges")
-    labels = materialize(both.groupBy("src").agg(F.min("dst").alias("least")).select(F.col("src").alias("node"), F.least("src", "least").alias("label")), "labels")
+    real = edges.filter(a.isNotNull() & b.isNotNull() & (a != b))
+    down = materialize(real.select(F.greatest(a, b).alias("high"), F.least(a, b).alias("low")).distinct(), "edges")
+    labels = None
     for _ in range(MOST_ROUNDS):
-        of_next = labels.select(F.col("node").alias("dst"), F.col("label").alias("near"))
-        heard = both.join(of_next, "dst").groupBy("src").agg(F.min("near").alias("near"))
-        met = labels.join(heard.withColumnRenamed("src", "node"), "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("beyond"))
-        new = materialize(met.join(jump, "label", "left").select("node", F.least("label", "beyond").alias("label"), "was"), "labels")
-        if new.filter(F.col("label") != F.col("was")).isEmpty():
+        if down.isEmpty():
             break
-        labels = new.select("node", "label")
+        to_least = down.groupBy("high").agg(F.min("low").alias("to"))
+        beyond = to_least.select(F.col("high").alias("to"), F.col("to").alias("further"))
+        moves = materialize(to_least.join(beyond, "to", "left").select(F.col("high").alias("node"), F.coalesce("further", "to").alias("to")), "moves")
+        if labels is None:
+            nodes = down.select(F.col("high").alias("node")).union(down.select(F.col("low").alias("node"))).distinct()
+            labels = nodes.select("node", F.col("node").alias("label"))
+        now = moves.select(F.col("node").alias("label"), "to")
+        labels = materialize(labels.join(now, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+        high, low = moves.select(F.col("node").alias("high"), F.col("to").alias("high_to")), moves.select(F.col("node").alias("low"), F.col("to").alias("low_to"))
+        moved = down.join(high, "high").join(low, "low", "left").select("high_to", F.coalesce("low_to", "low").alias("low_to"))
+        # where a node's goal has itself moved, the two stay connected
+        chained = moves.select(F.col("to").alias("high_to")).join(moves.select(F.col("node").alias("high_to"), F.col("to").alias("low_to")), "high_to")
+        both = moved.union(chained).filter("high_to != low_to")
+        down = materialize(both.select(F.greatest("high_to", "low_to").alias("high"), F.least("high_to", "low_to").alias("low")).distinct(), "edges")
+    if labels is None:
+        return down.select(F.col("high").alias("node"), F.col("low").alias("component"))
     return labels.select("node", F.col("label").alias("component"))

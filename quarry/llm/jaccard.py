@@ -162,11 +162,28 @@ def _lone_shingles(profiles: DataFrame, parts: int) -> DataFrame:
         if tokens:
             _, low, high = _extremes(np.concatenate(tokens), np.concatenate(digests))
             digest, lone = np.unique(low[low == high], return_counts=True)
+            part = (digest.view(U64) % U64(parts)).astype(np.int32)
+            order = np.argsort(part, kind="stable")
+            part, digest, lone = part[order], digest[order], lone[order].astype("<u4")
+            begins = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, int)
+            packed = [digest[a:b].tobytes() + lone[a:b].tobytes() for a, b in zip(begins, np.append(begins[1:], len(part)), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(part[begins], pa.int32()), pa.array(packed, pa.binary())], names=["part", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digests, counts = [], []
+        for batch in batches:
+            for blob in batch.column(1).to_pylist():
+                n = len(blob) // 12
+                digests.append(np.frombuffer(blob, "<i8", n)), counts.append(np.frombuffer(blob, "<u4", n, 8 * n))
+        if digests:
+            digest, at = np.unique(np.concatenate(digests), return_inverse=True)
+            lone = np.bincount(at, np.concatenate(counts)).astype(np.int64)
             for at in range(0, len(digest), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(digest[at : at + 50_000], pa.int64()), pa.array(lone[at : at + 50_000], pa.int64())], names=["d1", "lone"])
 
     dealt = profiles.filter("n > 0").select("d1", "sample").mapInArrow(deal, "part int, pairs binary").repartition(parts, "part")
-    return dealt.mapInArrow(count, "d1 long, lone long").groupBy("d1").agg(F.sum("lone").alias("lone"))
+    counted = dealt.mapInArrow(count, "part int, counts binary").repartition(parts, "part")
+    return counted.mapInArrow(add, "d1 long, lone long")
 
 
 def _extremes(token: np.ndarray, digest: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -500,16 +517,14 @@ def _links(keys: DataFrame, sets: DataFrame) -> DataFrame | None:
     known, far, crowd = _met(keys, sets)
     links = materialize(known.union(far).filter(_is_link()).select("a", "b"), "links")
     linked = components(links)
-    for edges in (known.filter(F.col("common") >= NEAR * F.col("total")).select("a", "b"), crowd):
-        clusters = components(edges)
-        members = clusters.withColumnRenamed("component", "cluster").join(linked, "node", "left")
-        members = materialize(members.select(F.col("node").alias("cid"), "cluster", F.coalesce("component", "node").alias("component")), "members")
-        with arrow_rows(sets.sparkSession, WIDE_ROWS):
-            more = materialize(_within_clusters(members, sets), "more-links")
-        if not more.isEmpty():
-            links = links.union(more)
-            linked = components(links)
-    return linked
+    near = known.filter(F.col("common") >= NEAR * F.col("total")).select("a", "b")
+    # a set may be in a cluster of either kind; their numbers differ in the last bit
+    clusters = [components(edges).select("node", (2 * F.col("component") + kind).alias("cluster")) for kind, edges in enumerate((near, crowd))]
+    members = clusters[0].union(clusters[1]).join(linked, "node", "left")
+    members = materialize(members.select(F.col("node").alias("cid"), "cluster", F.coalesce("component", "node").alias("component")), "members")
+    with arrow_rows(sets.sparkSession, WIDE_ROWS):
+        more = materialize(_within_clusters(members, sets), "more-links")
+    return linked if more.isEmpty() else components(links.union(more))
 
 
 def link(docs: DataFrame) -> DataFrame:
