@@ -32,7 +32,7 @@ WORDS = 5
 PERCENT = 75
 #: Of SAMPLE_OF parts of the shingle universe, those that are counted to find shingles of one class; more than a quarter.
 SAMPLE, SAMPLE_OF = 3, 8
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 BATCH_DOCS = 2000
 #: Rows of an Arrow batch where rows hold whole sets.
 WIDE_ROWS = 200
@@ -45,7 +45,7 @@ PIVOT_ROUNDS = 2
 #: Jaccard similarity to a pivot at which a set leaves its bucket's list, and at which it is in the pivot's cluster.
 CLOSE, NEAR = 0.55, 0.3
 #: Sets of a block's side, and shingles of a block's product at once.
-BLOCK_SETS, BLOCK_SHINGLES = 2048, 4096
+BLOCK_SETS, BLOCK_SHINGLES = 1024, 4096
 #: Sets of a bucket that are close to no pivot and yet compared pair by pair: so many at most, or else in blocks.
 FEW = 16
 
