@@ -17,6 +17,8 @@ WORDS = 8
 #: An item is found if half its windows, or this many, are.
 ENOUGH_WINDOWS = 8
 SHARE = 0.5
+#: Ways to look an item up (_item_windows).
+TEMPLATE, LITERAL, WHOLE = "template", "literal", "whole"
 
 #: Marks of a slot: what stands before a placeholder's type, and between the type and its value.
 SLOT, VALUE = "\ue000", "\ue001"
@@ -43,24 +45,46 @@ def _held(column: Column) -> Column:
     return F.explode(F.array(column))
 
 
-def _windows(words: DataFrame, n: int) -> DataFrame:
-    """Adds windows, the hashes of each n consecutive template words, to a table with words."""
-    held = words.withColumn("kinds", _held(F.transform("words", lambda x: F.xxhash64(F.substring_index(x, VALUE, 1)))))
+def _value(word: Column) -> Column:
+    """A template word as it stands in the text, whether it is a slot or not."""
+    return F.substring_index(word, VALUE, -1)
+
+
+def _windows(words: DataFrame, n: int, literal: bool = False) -> DataFrame:
+    """Adds windows, the hashes of each n consecutive template words (literal: of the words themselves), to a table with words."""
+    held = words.withColumn("kinds", _held(F.transform("words", lambda x: F.xxhash64(_value(x) if literal else F.substring_index(x, VALUE, 1)))))
     full = F.size("kinds") >= n
     starts = F.when(full, F.sequence(F.lit(0), F.size("kinds") - n)).otherwise(F.array().cast("array<int>"))
     return held.withColumn("windows", F.transform(starts, lambda i: F.xxhash64(*[F.get("kinds", i + k) for k in range(n)]))).drop("kinds")
 
 
 def _item_windows(items: DataFrame, n: int) -> DataFrame:
-    """(n, h, item_id, j, n_windows, slotted) of items with n words or more, or, where n is less than WORDS, exactly n."""
+    """(n, way, h, item_id, j, n_windows, slotted) of items with n words or more, or, where n is less than WORDS, exactly n.
+
+    Windows with more slots than words are left out (way TEMPLATE), as any list of numbers has them. Items that have no
+    other windows are looked up by all windows of their own values (LITERAL), and by the template windows that hold a word
+    besides slots (WHOLE), which count only where the whole item's template stands.
+    """
     words = items.select("item_id", _held(template_words(F.col("text"))).alias("words"))
     words = words.filter(F.size("words") >= n) if n == WORDS else words.filter(F.size("words") == n)
-    out = _windows(words, n).select("item_id", "words", F.posexplode("windows").alias("j", "h"))
-    slots = F.size(F.filter(F.slice("words", F.col("j") + 1, n), lambda x: x.startswith(SLOT)))
-    out = out.select("item_id", "j", "h", slots.alias("slots")).filter(2 * F.col("slots") <= n)
-    first = out.groupBy("item_id", "h").agg(F.min("j").alias("j"), F.max(F.col("slots") > 0).alias("slotted"))
-    sizes = first.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_windows"))
-    return first.join(sizes, "item_id").select(F.lit(n).alias("n"), "h", "item_id", "j", "n_windows", "slotted")
+
+    def listed(way: str) -> DataFrame:
+        out = _windows(words, n, way == LITERAL).select("item_id", "words", F.posexplode("windows").alias("j", "h"))
+        slots = F.size(F.filter(F.slice("words", F.col("j") + 1, n), lambda x: x.startswith(SLOT)))
+        return out.select("item_id", "j", "h", slots.alias("slots"))
+
+    def counted(out: DataFrame, way: str) -> DataFrame:
+        slotted = F.lit(False) if way == LITERAL else F.max(F.col("slots") > 0)
+        first = out.groupBy("item_id", "h").agg(F.min("j").alias("j"), slotted.alias("slotted"))
+        sizes = first.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_windows"))
+        return first.join(sizes, "item_id").select(F.lit(n).alias("n"), F.lit(way).alias("way"), "h", "item_id", "j", "n_windows", "slotted")
+
+    few = 2 * F.col("slots") <= n
+    template = listed(TEMPLATE)
+    heavy = template.groupBy("item_id").agg(F.max(few).alias("any")).filter(~F.col("any")).select("item_id")
+    out = counted(template.filter(few), TEMPLATE)
+    out = out.union(counted(listed(LITERAL).join(heavy, "item_id", "left_semi"), LITERAL))
+    return out.union(counted(template.filter(F.col("slots") < n).join(heavy, "item_id", "left_semi"), WHOLE))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -68,7 +92,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     n_found of an item's n_windows distinct template windows of eight words stand in the document, in alignments whose
     slots are consistent: half of the windows, or eight. kind is verbatim if all slot values are the item's own, else
-    reparameterised. Shorter items are looked up whole. Windows with more slots than words aren't looked up.
+    reparameterised. Shorter items are looked up whole. Windows with more slots than words aren't looked up, unless an item
+    has no others: then half of its windows (or eight) count as they are written, and its whole template with other
+    values; an item of slots alone has no template to know it by, and is found as written only.
 
     Null texts are empty and match nothing; null ids stay; rows of equal id and text give one row an item; text_hash
     (xxhash64 of the text) tells documents of one id apart. Empty tables give no rows; other columns aren't read.
@@ -85,20 +111,25 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         wanted = part if wanted is None else wanted.union(part)
     wanted = materialize(wanted, "item-windows")
     broadcast = small_enough(wanted, row_bytes=200)
+    literal = {r["n"] for r in wanted.filter(F.col("way") == LITERAL).select("n").distinct().collect()}  # at most WORDS values
     words = docs.select("doc_id", "text_hash", _held(template_words(F.col("text"))).alias("words"))
     found = None
-    for n in lengths:
-        hashed = _windows(words, n).select("doc_id", "text_hash", F.posexplode("windows").alias("i", "h"))
-        ours = wanted.filter(F.col("n") == n).drop("n")
+    for n, as_written in [(n, False) for n in lengths] + [(n, True) for n in lengths if n in literal]:
+        hashed = _windows(words, n, as_written).select("doc_id", "text_hash", F.posexplode("windows").alias("i", "h"))
+        ours = wanted.filter((F.col("n") == n) & ((F.col("way") == LITERAL) == F.lit(as_written))).drop("n")
         part = hashed.join(F.broadcast(ours) if broadcast else ours, "h").withColumn("n", F.lit(n))
         found = part if found is None else found.union(part)
     by = ["doc_id", "text_hash", "item_id"]
-    pairs = found.groupBy(*by).agg(
+    pairs = found.groupBy(*by, "way").agg(
         F.max("n").alias("n"), F.max("n_windows").alias("n_windows"), F.max("slotted").alias("slotted"), F.collect_set(F.struct("i", "j")).alias("at"),
     )
     pairs = materialize(pairs.withColumn("n_found", F.size(F.array_distinct(F.transform("at", lambda x: x["j"])))).filter(_enough("n_found")), "leaks")
     plain = pairs.filter(~F.col("slotted")).select(*by, "n_windows", "n_found", F.lit("verbatim").alias("kind"))
     out = plain.unionByName(_consistent(pairs.filter("slotted"), docs, items))
+    if literal:
+        # an item looked up in two ways is one row; verbatim comes first
+        best = F.max(F.struct((F.col("kind") == "verbatim").alias("first"), "n_windows", "n_found", "kind")).alias("best")
+        out = out.groupBy(*by).agg(best).select(*by, "best.n_windows", "best.n_found", "best.kind")
     return out.select("doc_id", "item_id", F.col("n_windows").cast("long"), F.col("n_found").cast("long"), "kind", "text_hash")
 
 
@@ -110,15 +141,21 @@ def _consistent(pairs: DataFrame, docs: DataFrame, items: DataFrame) -> DataFram
     """Pairs whose slots hold: for each alignment, an item's value of a slot type stands for one value of the document."""
     by = ["doc_id", "text_hash", "item_id"]
     # a pair's rows carry no text; only documents with a slotted pair are read again
-    few = pairs.select("doc_id", "text_hash", "item_id", "n", "n_windows", "at")
+    few = pairs.select("doc_id", "text_hash", "item_id", "way", "n", "n_windows", "at")
     few = F.broadcast(few) if small_enough(few, row_bytes=2000) else few
     same = F.col("p.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("p.text_hash") == F.col("d.text_hash"))
-    held = few.alias("p").join(docs.alias("d"), same).select("p.doc_id", "p.text_hash", "p.item_id", "p.n", "p.n_windows", "p.at", _held(template_words(F.col("d.text"))).alias("doc_words"))
+    held = few.alias("p").join(docs.alias("d"), same).select("p.doc_id", "p.text_hash", "p.item_id", "p.way", "p.n", "p.n_windows", "p.at", _held(template_words(F.col("d.text"))).alias("doc_words"))
     item_words = items.select("item_id", _held(template_words(F.col("text"))).alias("item_words"))
-    both = held.join(item_words, "item_id").select(*by, "n", "n_windows", "doc_words", "item_words", F.explode("at").alias("m"))
+    both = held.join(item_words, "item_id").select(*by, "way", "n", "n_windows", "doc_words", "item_words", F.explode("at").alias("m"))
     shift = (F.col("m.i") - F.col("m.j")).alias("shift")
+    whole = F.col("way") == WHOLE
+    start, size = F.when(whole, 0).otherwise(F.col("m.j")), F.when(whole, F.size("item_words")).otherwise(F.col("n"))
+    # a whole item stands where each word is of the same kind (or, as a name's first letter depends on its place, is the same)
+    same_word = lambda x, y: (F.substring_index(x, VALUE, 1) == F.substring_index(y, VALUE, 1)) | (_value(x) == _value(y))
+    stands = F.forall(F.zip_with("item_words", F.slice("doc_words", F.greatest(shift, F.lit(0)) + 1, F.size("item_words")), same_word), lambda x: F.coalesce(x, F.lit(False)))
+    both = both.filter(~whole | ((shift >= 0) & stands))
     slots = F.filter(
-        F.arrays_zip(F.slice("item_words", F.col("m.j") + 1, F.col("n")).alias("mine"), F.slice("doc_words", F.col("m.i") + 1, F.col("n")).alias("theirs")),
+        F.arrays_zip(F.slice("item_words", start + 1, size).alias("mine"), F.slice("doc_words", start + shift + 1, size).alias("theirs")),
         lambda x: x["mine"].startswith(SLOT),
     )
     rows = both.select(*by, "n_windows", shift, F.col("m.j").alias("j"), F.explode_outer(slots).alias("slot"))

@@ -159,6 +159,21 @@ def test_slots_must_be_consistent(spark):
     assert [r["doc_id"] for r in decontaminate.leaks(docs, items).collect()] == [1]
 
 
+def test_items_of_slots_are_found(spark):
+    sums, series, short = "adds 3 km, 5 km, 8 km, 13 km and 21 km", "2 3 5 7 11 13 17 19 23 29", "7 + 5 makes 12"
+    items = spark.createDataFrame([(1, sums), (2, series), (3, short)], "item_id long, text string")
+    filler = "some words that stand around the passage in a long page of text"
+    rows = [
+        (1, f"{filler} {sums} {filler}"), (2, f"{filler} adds 4 miles, 6 miles, 9 miles, 14 miles and 22 miles {filler}"), (3, f"{filler} {series} {filler}"),
+        (4, f"{filler} 1 4 6 8 9 10 12 14 15 16 {filler}"), (5, f"{filler} {short} {filler}"), (6, f"{filler} adds 4 miles, 6 km, 9 miles, 14 miles and 22 miles"),
+        (7, f"{filler} walks 4 miles, 6 miles, 9 miles, 14 miles and 22 miles"), (8, None),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted((r["doc_id"], r["item_id"], r["kind"]) for r in decontaminate.leaks(docs, items).collect())
+    assert found == [(1, 1, "verbatim"), (2, 1, "reparameterised"), (3, 2, "verbatim"), (5, 3, "verbatim")]
+    assert sorted(r["doc_id"] for r in decontaminate.drop_leaks(docs, items).collect()) == [4, 6, 7, 8]
+
+
 def test_line_dedup(spark):
     rows = [(k, f"Menu | Home\nown line {k}\n\n  Menu | Home  \nFoot" if k < 9 else f"own {k}\nrare", "a", 0) for k in range(12)] + [(50, None, "b", 1), (51, "Menu | Home", None, 2), (0, rows_text(0), "a", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_lines int")
