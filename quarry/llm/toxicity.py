@@ -32,7 +32,8 @@ THRESHOLD = 0.5
 PREFIXES = (4, 5, 6)
 TOP_WORDS = 3
 CACHE_WORDS = 150_000
-LONGEST = 40
+#: Words of more characters are decoded anew each time.
+CACHED_LENGTH = 64
 
 # What a character of an obfuscated word may stand for, besides itself if it is a letter.
 LEET = {
@@ -40,7 +41,7 @@ LEET = {
     "@": "a", "$": "s", "!": "i", "|": "li", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i", "#": "h",
 }
 SEPARATORS = "._-*~'`^/\\, "
-#: Log probabilities of the channel: a letter as itself, as a leet character, an inserted separator, a repeated letter.
+#: Log probabilities of the channel: a letter (or the end of a word) as itself, as a leet character, an inserted separator, a repeated letter.
 KEEP, WRITE_LEET, INSERT, REPEAT = math.log(0.9), math.log(0.08), math.log(0.3), math.log(0.4)
 
 #: Model alphabet: 0 is everything between words, 1..26 are a..z, 27 is any other letter.
@@ -86,44 +87,57 @@ def char_model(counts: np.ndarray) -> np.ndarray:
 
 
 class Decoder:
-    """Viterbi search for the likeliest word that a string was written for."""
+    """Viterbi search for the likeliest words that a string was written for."""
 
     def __init__(self, model: np.ndarray):
         self.model = model.tolist()
 
     def restore(self, word: str) -> str:
-        """word is lower-case. Strings of over 40 characters, and ones without a reading, come back as they are."""
-        if len(word) > LONGEST:
-            return word
-        # state: the last two symbols; value: log probability and the letters so far
-        best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        """word is lower-case. A separator may end a word, which gives a space. Strings without a reading come back as they are."""
+        # state: the last two symbols; value: log probability and the letters so far, last first, as nested pairs
+        best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         previous = ""
         for char in word:
             letters = char if char.isalpha() else ""
-            options = [(x, KEEP) for x in letters] + [(x, WRITE_LEET) for x in LEET.get(char, "")]
-            skip = INSERT if char in SEPARATORS or not (char.isalnum() or char in LEET) else REPEAT if char == previous else None
-            new: dict[tuple[int, int], tuple[float, str]] = {}
+            options = [(x, KEEP, ord(x) - 96 if "a" <= x <= "z" else 27) for x in letters] + [(x, WRITE_LEET, ord(x) - 96) for x in LEET.get(char, "")]
+            apart = char in SEPARATORS or not (char.isalnum() or char in LEET)
+            if apart:
+                options.append((" ", KEEP, 0))
+            skip = INSERT if apart else REPEAT if char == previous else None
+            new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (p, text) in best.items():
                 if skip is not None and p + skip > new.get((a, b), (-1e18,))[0]:
                     new[a, b] = (p + skip, text)
                 row = self.model[a][b]
-                for letter, cost in options:
-                    code = ord(letter) - 96 if "a" <= letter <= "z" else 27
+                for letter, cost, code in options:
                     score = p + cost + row[code]
                     if score > new.get((b, code), (-1e18,))[0]:
-                        new[b, code] = (score, text + letter)
+                        new[b, code] = (score, (text, letter))
             if not new:
                 return word
             best, previous = new, char
-        ended = [(p + self.model[a][b][0], text) for (a, b), (p, text) in best.items()]
-        return max(ended)[1] or word
+        text = max(((p + self.model[a][b][0], text) for (a, b), (p, text) in best.items()), key=lambda x: x[0])[1]
+        out = []
+        while text is not None:
+            text, letter = text
+            out.append(letter)
+        return "".join(reversed(out)) or word
 
 
 def is_suspect(word: str) -> bool:
     return _SUSPECT.search(word) is not None
 
 
-def restored_words(text: str, decoder: Decoder, known: dict[str, str]) -> set[str]:
+def readings(word: str, decoder: Decoder) -> list[str]:
+    """The words that a lower-case string without blanks stands for: one if it is plain; if restored as several, also all joined."""
+    plain = _EDGE.sub("", word)
+    if not is_suspect(plain):
+        return [plain] if plain else []
+    found = list(dict.fromkeys(decoder.restore(plain).split()))
+    return found if len(found) < 2 else [*found, "".join(found)]
+
+
+def restored_words(text: str, decoder: Decoder, known: dict[str, list[str]]) -> set[str]:
     """The distinct lower-case words of a text, obfuscated ones restored; known caches words."""
     text = text.lower()
     words = set(text.split())
@@ -133,14 +147,12 @@ def restored_words(text: str, decoder: Decoder, known: dict[str, str]) -> set[st
     for word in words:
         found = known.get(word)
         if found is None:
-            found = plain = _EDGE.sub("", word)
-            if is_suspect(plain):
-                found = decoder.restore(plain)
+            found = readings(word, decoder)
             if len(known) > CACHE_WORDS:
                 known.clear()
-            known[word] = found
-        out.add(found)
-    out.discard("")
+            if len(word) <= CACHED_LENGTH:
+                known[word] = found
+        out.update(found)
     return out
 
 
@@ -164,13 +176,13 @@ class Scorer:
 
     def __init__(self, chars: np.ndarray, evidence: dict[str, float]):
         self.decoder, self.evidence = Decoder(chars), evidence
-        self.known: dict[str, float] = {}
+        self.known: dict[str, tuple[float, ...]] = {}
 
-    def _of_word(self, word: str) -> float:
-        plain = _EDGE.sub("", word)
-        if is_suspect(plain):
-            plain = self.decoder.restore(plain)
-        return max((self.evidence.get(f, 0.0) for f in features_of(plain)), default=0.0) if plain else 0.0
+    def _of_word(self, word: str) -> tuple[float, ...]:
+        """Evidence of each word that a string stands for; of all joined only if they have none."""
+        each = [max(self.evidence.get(f, 0.0) for f in features_of(x)) for x in readings(word, self.decoder)]
+        apart = each[:-1] if len(each) > 1 else each
+        return tuple(e for e in apart if e) or tuple(e for e in each if e)
 
     def measure(self, text: str) -> tuple[float, ...]:
         """Evidence of the strongest words, strongest first; 0 where there are none."""
@@ -184,9 +196,10 @@ class Scorer:
             if e is None:
                 if len(known) > CACHE_WORDS:
                     known.clear()
-                e = known[word] = self._of_word(word)
-            if e:
-                strong.append(e)
+                e = self._of_word(word)
+                if len(word) <= CACHED_LENGTH:
+                    known[word] = e
+            strong += e
         strong.sort(reverse=True)
         return tuple((strong + [0.0] * TOP_WORDS)[:TOP_WORDS])
 

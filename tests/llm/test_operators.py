@@ -135,6 +135,23 @@ def test_toxicity(spark):
     assert toxicity.score(docs, marks.limit(0)).filter("predicted = 1").count() == 0 and toxicity.score(docs.limit(0), marks).count() == 0
 
 
+def test_decoder_has_no_longest_string_and_parts_words():
+    draw = random.Random(4)
+    plain = ["you", "are", "a", "worthless", "moron", "river", "stone", "window", "garden", "letter", "summer"]
+    counts = np.zeros(toxicity.SYMBOLS**3)
+    for _ in range(400):
+        code = toxicity._CODE_OF_BYTE[np.frombuffer(("  " + " ".join(draw.choices(plain, k=30)) + " ").encode(), np.uint8)]
+        counts += np.bincount((code[:-2] * toxicity.SYMBOLS + code[1:-1]) * toxicity.SYMBOLS + code[2:], minlength=toxicity.SYMBOLS**3)
+    chars = toxicity.char_model(counts)
+    decoder, scorer = toxicity.Decoder(chars), toxicity.Scorer(chars, {"=moron": 3.0, "=worthless": 4.0})
+    assert decoder.restore("you.are.a.m0ron") == "you are a moron" and decoder.restore("m.o.r.o.n") == "moron"
+    spaced = " ".join("youareaworthlessmoron")
+    assert scorer.measure(spaced) == (4.0, 3.0, 0.0) and scorer.measure("a m o r o n") == (3.0, 0.0, 0.0)
+    assert scorer.measure("river.stone.window.garden.letter.summer.moron") == (3.0, 0.0, 0.0)
+    assert scorer.measure(" ".join(spaced for _ in range(500))) == (4.0, 3.0, 0.0)
+    assert toxicity.restored_words(spaced, decoder, {}) >= {"worthless", "moron"}
+
+
 def test_decontamination(spark):
     item = "Maria bought 12 apples for 3 dollars each and then she gave 4 apples to the old teacher before lunch"
     items = spark.createDataFrame([(1, item), (2, "too short here"), (3, None), (4, "")], "item_id long, text string")
