@@ -138,7 +138,10 @@ def _enough(found: str) -> Column:
 
 
 def _consistent(pairs: DataFrame, docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Pairs whose slots hold: for each alignment, an item's value of a slot type stands for one value of the document."""
+    """Pairs whose slots hold: for each alignment, an item's value of a slot type stands for one value of the document.
+
+    Of other alignments only the windows without slots count.
+    """
     by = ["doc_id", "text_hash", "item_id"]
     # a pair's rows carry no text; only documents with a slotted pair are read again
     few = pairs.select("doc_id", "text_hash", "item_id", "way", "n", "n_windows", "at")
@@ -162,9 +165,12 @@ def _consistent(pairs: DataFrame, docs: DataFrame, items: DataFrame) -> DataFram
     values = rows.groupBy(*by, "n_windows", "shift", "slot.mine").agg(F.collect_set("slot.theirs").alias("values"), F.collect_set("j").alias("js"))
     aligned = values.groupBy(*by, "n_windows", "shift").agg(
         F.max(F.size("values")).alias("most"), F.max((F.size("values") > 0) & ~F.array_contains("values", F.coalesce("mine", F.lit("")))).alias("changed"),
-        F.array_distinct(F.flatten(F.collect_list("js"))).alias("js"),
+        F.array_distinct(F.flatten(F.collect_list("js"))).alias("js"), F.flatten(F.collect_list(F.when(F.col("mine").isNull(), F.col("js")))).alias("free"),
     )
-    whole = aligned.filter("most <= 1").groupBy(*by, "n_windows").agg(F.size(F.array_distinct(F.flatten(F.collect_list("js")))).alias("n_found"), F.max("changed").alias("changed"))
+    # where slots don't hold, the alignment's windows without slots still do
+    held = F.col("most") <= 1
+    aligned = aligned.select(*by, "n_windows", F.when(held, F.col("js")).otherwise(F.col("free")).alias("js"), (F.col("changed") | ~held).alias("changed"))
+    whole = aligned.filter(F.size("js") > 0).groupBy(*by, "n_windows").agg(F.size(F.array_distinct(F.flatten(F.collect_list("js")))).alias("n_found"), F.max("changed").alias("changed"))
     return whole.filter(_enough("n_found")).select(*by, "n_windows", "n_found", F.when(F.col("changed"), "reparameterised").otherwise("verbatim").alias("kind"))
 
 

@@ -191,6 +191,13 @@ def test_items_of_slots_are_found(spark):
     assert sorted(r["doc_id"] for r in decontaminate.drop_leaks(docs, items).collect()) == [4, 6, 7, 8]
 
 
+def test_one_edited_number_hides_no_long_item(spark):
+    item = "take 5 coins and put 5 coins into the left box before " + " ".join(f"w{c}" for c in "abcdefghijklmnopqrstuvwxyz")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, item.replace("5", "6", 1)), (2, item.replace("5", "6", 1)[:45])], "doc_id long, text string")
+    assert [(r["doc_id"], r["kind"]) for r in decontaminate.leaks(docs, items).collect()] == [(1, "reparameterised")]
+
+
 def test_line_dedup(spark):
     rows = [(k, f"Menu | Home\nown line {k}\n\n  Menu | Home  \nFoot" if k < 9 else f"own {k}\nrare", "a", 0) for k in range(12)] + [(50, None, "b", 1), (51, "Menu | Home", None, 2), (0, rows_text(0), "a", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_lines int")
