@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,20 +24,45 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a folder of this machine's
+    serves a local session (as in tests); on a cluster it is an error, as executors would not see each other's files."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quarry-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+#: Settings while a table is written: its shuffle files go once it is there, and Python workers get small batches.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+#: Rows of an Arrow batch: of texts, and where a row may hold a whole set of shingles or more.
+BATCH_ROWS, WIDE_ROWS = 2000, 200
+#: Tasks that parts of a dealt table are spread over at most; a task takes its parts one after another.
+MOST_TASKS = 20_000
+
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def materialize(df: DataFrame, name: str, batch_rows: int = BATCH_ROWS) -> DataFrame:
     """Writes a table in the shared folder and reads it back, which cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quarry-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with settings(spark, _WRITING | {"spark.sql.execution.arrow.maxRecordsPerBatch": str(batch_rows)}):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes tables that materialize wrote and that no later job reads."""
+    for table in tables:
+        if table is not None and (path := _paths.pop(table, None)) is not None:
+            spark = table.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def text_or_empty(column: str = "text") -> Column:
@@ -81,12 +108,37 @@ def small_enough(df: DataFrame, row_bytes: int, limit: int = BROADCAST_LIMIT_BYT
 
 
 @contextmanager
-def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Holds the rows of an Arrow batch down while jobs over wide rows run, so that a batch stays small."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+def settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
+    """Holds session settings while jobs run."""
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def parts_for(total_bytes: int, part_bytes: int) -> int:
+    """Into how many parts data of this size are dealt, so that a task can hold one whole."""
+    return max(-(-int(total_bytes) // part_bytes), 1)
+
+
+def dealt(rows: DataFrame, parts: int) -> DataFrame:
+    """Rows with a column part (0 to parts - 1), each part whole and in one piece in a task."""
+    tasks = min(parts, MOST_TASKS)
+    return rows.repartitionById(tasks, (F.col("part") % tasks).cast("int")).sortWithinPartitions("part")
+
+
+def by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """The rows of each part, of batches in order of their column part."""
+    held: list[dict] = []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if held and row["part"] != held[-1]["part"]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held

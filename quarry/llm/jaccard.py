@@ -23,8 +23,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from quarry.llm.common import arrow_rows, materialize, small_enough, text_or_empty
+from quarry.llm.common import WIDE_ROWS, by_part, dealt, discard, materialize, parts_for, small_enough, text_or_empty
 from quarry.llm.graph import components
 
 WORDS = 5
@@ -34,8 +35,8 @@ PERCENT = 75
 SAMPLE, SAMPLE_OF = 3, 8
 CACHE_WORDS = 200_000
 BATCH_DOCS = 2000
-#: Rows of an Arrow batch where rows hold whole sets.
-WIDE_ROWS = 200
+#: Bytes of shingles and counts that a task holds of one part of the universe.
+PART_BYTES = 16 << 20
 #: Rows written that cost as much as measuring a pair.
 PAIR_ROWS = 20
 #: Shingles whose frequency signatures are told: those in so many sets, or in more, so that there are at most MOST_FREQUENT.
@@ -104,8 +105,7 @@ def _profiles(docs: DataFrame) -> DataFrame:
                 s = shingler.shingles(text)
                 digest = xxhash.xxh128_intdigest(s.tobytes(), seed=len(s))
                 n.append(len(s)), d1.append(_signed(digest >> 64)), d2.append(_signed(digest & (1 << 64) - 1))
-                s = s[s % U64(SAMPLE_OF) < U64(SAMPLE)] >> U64(16)
-                sample.append(s.view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
+                sample.append(_packed(s[s % U64(SAMPLE_OF) < U64(SAMPLE)] >> U64(16)))
             columns = [batch.column(0), batch.column(2), *(pa.array(x, pa.int64()) for x in (n, d1, d2)), pa.array(sample, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "n", "d1", "d2", "sample"])
 
@@ -116,84 +116,102 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _six(blob: bytes, n: int) -> np.ndarray:
-    """Numbers of six bytes each."""
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers below 2**48 in six bytes each."""
+    return np.ascontiguousarray(numbers, U64).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _six(blob: bytes, n: int | None = None, at: int = 0) -> np.ndarray:
+    """Numbers of six bytes each: n of them from a place on, or all."""
+    n = len(blob) // 6 if n is None else n
     out = np.zeros((n, 8), np.uint8)
-    out[:, :6] = np.frombuffer(blob, np.uint8, 6 * n).reshape(n, 6)
+    out[:, :6] = np.frombuffer(blob, np.uint8, 6 * n, at).reshape(n, 6)
     return out.view("<u8").reshape(-1)
 
 
-def _lone_shingles(profiles: DataFrame, parts: int) -> DataFrame:
-    """(d1, lone): how many shingles of the sampled universe only the class has. Many tasks combine their own first.
+def _begins(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each stretch of equal values begins and ends."""
+    begins = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, int)
+    return begins, np.append(begins[1:], len(part))
+
+
+def _blobs(part: np.ndarray, parts: int, *columns: tuple[np.ndarray, bool]) -> pa.RecordBatch:
+    """(part, blob): columns of numbers by part, one blob for each; a column is told by its values and whether six bytes do."""
+    part = (part % U64(parts)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    ordered = [(values[order], short) for values, short in columns]
+    begins, ends = _begins(part)
+    blobs = [b"".join(_packed(v[a:b]) if short else v[a:b].tobytes() for v, short in ordered) for a, b in zip(begins, ends, strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(part[begins], pa.int32()), pa.array(blobs, pa.binary())], names=["part", "blob"])
+
+
+def _class_number(d1: Column) -> Column:
+    """Six bytes of a class's digest."""
+    return F.shiftrightunsigned(d1, 16)
+
+
+def _lone_shingles(profiles: DataFrame, total: int) -> DataFrame:
+    """(number, lone): how many shingles of the sampled universe only the class of that number has, or fewer; total is how
+    many shingles all rows have. Many tasks combine their own first.
 
     Six bytes of a shingle will do: shingles taken for one another only make fewer lone ones.
     """
+    parts = parts_for(12 * total * SAMPLE // SAMPLE_OF, PART_BYTES)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, digests = [], []
+        tokens, numbers = [], []
 
         def flush():
             sizes = [len(t) // 6 for t in tokens]
-            token, low, high = _extremes(_six(b"".join(tokens), sum(sizes)), np.repeat(np.array(digests, np.int64), sizes))
+            token, low, high = _extremes(_six(b"".join(tokens)), np.repeat(np.array(numbers, U64), sizes))
             twice = low != high
-            token, digest = np.concatenate([token, token[twice]]), np.concatenate([low, high[twice]])
-            part = (token >> U64(24)) % U64(parts)
-            order = np.argsort(part.astype(np.int32), kind="stable")
-            part, digest, six = part[order], digest[order], token[order].view(np.uint8).reshape(-1, 8)[:, :6]
-            begins = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, int)
-            packed = [six[a:b].tobytes() + digest[a:b].tobytes() for a, b in zip(begins, np.append(begins[1:], len(part)), strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(part[begins].astype(np.int32), pa.int32()), pa.array(packed, pa.binary())], names=["part", "pairs"])
+            token, number = np.concatenate([token, token[twice]]), np.concatenate([low, high[twice]])
+            return _blobs(token >> U64(20), parts, (token, True), (number, True))
 
         for batch in batches:
             tokens += batch.column(1).to_pylist()
-            digests += batch.column(0).to_pylist()
+            numbers += batch.column(0).to_pylist()
             if len(tokens) >= BATCH_DOCS:
                 yield flush()
-                tokens.clear(), digests.clear()
+                tokens.clear(), numbers.clear()
         if tokens:
             yield flush()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, digests = [], []
-        for batch in batches:
-            for blob in batch.column(1).to_pylist():
-                n = len(blob) // 14
-                tokens.append(_six(blob, n)), digests.append(np.frombuffer(blob, "<i8", n, 6 * n))
-        if tokens:
-            _, low, high = _extremes(np.concatenate(tokens), np.concatenate(digests))
-            digest, lone = np.unique(low[low == high], return_counts=True)
-            part = (digest.view(U64) % U64(parts)).astype(np.int32)
-            order = np.argsort(part, kind="stable")
-            part, digest, lone = part[order], digest[order], lone[order].astype("<u4")
-            begins = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, int)
-            packed = [digest[a:b].tobytes() + lone[a:b].tobytes() for a, b in zip(begins, np.append(begins[1:], len(part)), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(part[begins], pa.int32()), pa.array(packed, pa.binary())], names=["part", "counts"])
+        for rows in by_part(batches):
+            tokens, numbers = [], []
+            for row in rows:
+                n = len(row["blob"]) // 12
+                tokens.append(_six(row["blob"], n)), numbers.append(_six(row["blob"], n, 6 * n))
+            _, low, high = _extremes(np.concatenate(tokens), np.concatenate(numbers))
+            number, lone = np.unique(low[low == high], return_counts=True)
+            yield _blobs(number, parts, (number, True), (np.minimum(lone, 65_535).astype("<u2"), False))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digests, counts = [], []
-        for batch in batches:
-            for blob in batch.column(1).to_pylist():
-                n = len(blob) // 12
-                digests.append(np.frombuffer(blob, "<i8", n)), counts.append(np.frombuffer(blob, "<u4", n, 8 * n))
-        if digests:
-            digest, at = np.unique(np.concatenate(digests), return_inverse=True)
+        for rows in by_part(batches):
+            numbers, counts = [], []
+            for row in rows:
+                n = len(row["blob"]) // 8
+                numbers.append(_six(row["blob"], n)), counts.append(np.frombuffer(row["blob"], "<u2", n, 6 * n))
+            number, at = np.unique(np.concatenate(numbers), return_inverse=True)
             lone = np.bincount(at, np.concatenate(counts)).astype(np.int64)
-            for at in range(0, len(digest), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(digest[at : at + 50_000], pa.int64()), pa.array(lone[at : at + 50_000], pa.int64())], names=["d1", "lone"])
+            for at in range(0, len(number), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(number[at : at + 50_000].view(np.int64)), pa.array(lone[at : at + 50_000])], names=["number", "lone"])
 
-    dealt = profiles.filter("n > 0").select("d1", "sample").mapInArrow(deal, "part int, pairs binary").repartition(parts, "part")
-    counted = dealt.mapInArrow(count, "part int, counts binary").repartition(parts, "part")
-    return counted.mapInArrow(add, "d1 long, lone long")
+    shingles = dealt(profiles.filter("n > 0").select(_class_number(F.col("d1")), "sample").mapInArrow(deal, "part int, blob binary"), parts)
+    counted = dealt(shingles.mapInArrow(count, "part int, blob binary"), parts)
+    return counted.mapInArrow(add, "number long, lone long")
 
 
-def _extremes(token: np.ndarray, digest: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct tokens with the least and greatest digest of each."""
+def _extremes(token: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct tokens with the least and greatest number of each."""
     if not len(token):
-        return token, digest, digest
+        return token, number, number
     order = np.argsort(token, kind="stable")
-    token, digest = token[order], digest[order]
-    begins = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-    return token[begins], np.minimum.reduceat(digest, begins), np.maximum.reduceat(digest, begins)
+    token, number = token[order], number[order]
+    begins, _ = _begins(token)
+    return token[begins], np.minimum.reduceat(number, begins), np.maximum.reduceat(number, begins)
 
 
 class Plan(NamedTuple):
@@ -294,26 +312,22 @@ def signatures(tokens: np.ndarray, band: int, plan: Plan, frequent: Frequent) ->
     return np.unique(np.concatenate(keys))
 
 
-def _frequent(sets: DataFrame, parts: int) -> Frequent:
+def _frequent(sets: DataFrame) -> Frequent:
     """Shingles in many sets: as few as the least frequency implies, whatever the table's size."""
     total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     least = max(FREQUENT, -(-total // MOST_FREQUENT))
+    parts = parts_for(10 * total, PART_BYTES)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def flush():
             token, n = np.unique(np.concatenate(held), return_counts=True)
-            part = (token >> U64(24)) % U64(parts)
-            order = np.argsort(part.astype(np.int32), kind="stable")
-            part, token, n = part[order], token[order], n[order].astype("<u4")
-            begins = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-            packed = [token[a:b].tobytes() + n[a:b].tobytes() for a, b in zip(begins, np.append(begins[1:], len(part)), strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(part[begins].astype(np.int32), pa.int32()), pa.array(packed, pa.binary())], names=["part", "counts"])
+            return _blobs(token >> U64(20), parts, (token, True), (n.astype("<u4"), False))
 
         for batch in batches:
             for blob in batch.column(0).to_pylist():
-                held.append(np.frombuffer(blob, "<u8"))
+                held.append(_six(blob))
                 size += len(held[-1])
                 if size >= 1_000_000:
                     yield flush()
@@ -322,35 +336,36 @@ def _frequent(sets: DataFrame, parts: int) -> Frequent:
             yield flush()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, counts = [], []
-        for batch in batches:
-            for blob in batch.column(1).to_pylist():
-                n = len(blob) // 12
-                tokens.append(np.frombuffer(blob, "<u8", n)), counts.append(np.frombuffer(blob, "<u4", n, 8 * n))
-        if tokens:
+        for rows in by_part(batches):
+            tokens, counts = [], []
+            for row in rows:
+                n = len(row["blob"]) // 10
+                tokens.append(_six(row["blob"], n)), counts.append(np.frombuffer(row["blob"], "<u4", n, 6 * n))
             token, n = np.concatenate(tokens), np.concatenate(counts).astype(np.int64)
             order = np.argsort(token, kind="stable")
             token, n = token[order], n[order]
-            begins = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            begins, _ = _begins(token)
             token, n = token[begins], np.add.reduceat(n, begins)
             many = n >= least
             yield pa.RecordBatch.from_arrays([pa.array(token[many].view(np.int64)), pa.array(n[many])], names=["token", "n"])
 
-    dealt = sets.select("tokens").mapInArrow(deal, "part int, counts binary").repartition(parts, "part")
-    rows = dealt.mapInArrow(count, "token long, n long").toPandas()  # total / least rows at most
+    counted = dealt(sets.select("tokens").mapInArrow(deal, "part int, blob binary"), parts).mapInArrow(count, "token long, n long")
+    counted = materialize(counted, "frequent")
+    rows = counted.toPandas()  # total / least rows at most
+    discard(counted)
     tokens = rows["token"].to_numpy(np.int64).view(U64)
     order = np.argsort(tokens)
     return Frequent(tokens[order], rows["n"].to_numpy(np.int64)[order])
 
 
 def _sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(cid, n, tokens) of each class, from the text of its representative row."""
+    """(cid, n, tokens) of each class, from the text of its representative row; tokens are six bytes of each shingle's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for batch in batches:
-            tokens = [shingler.shingles(t) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in tokens], pa.int64()), pa.array([t.astype("<u8").tobytes() for t in tokens], pa.binary())], names=["cid", "n", "tokens"])
+            tokens = [np.unique(shingler.shingles(t) >> U64(16)) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in tokens], pa.int64()), pa.array([_packed(t) for t in tokens], pa.binary())], names=["cid", "n", "tokens"])
 
     few = classes.select("cid", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash"))
     few = F.broadcast(few) if small_enough(few, row_bytes=64) else few
@@ -367,7 +382,7 @@ def _keys(sets: DataFrame, starts: list[int], plans: dict[int, Plan], frequent:
         for batch in batches:
             keys, cids = [], []
             for cid, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                tokens = np.frombuffer(blob, "<u8")
+                tokens = _six(blob)
                 band = int(np.searchsorted(starts, len(tokens), side="right")) - 1
                 for b in (band, band + 1):
                     if b in plans and (b == band or len(tokens) * 100 // PERCENT >= starts[b]):
@@ -382,13 +397,17 @@ def _keys(sets: DataFrame, starts: list[int], plans: dict[int, Plan], frequent:
 
 
 def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, common, total) of pairs (a, b): exact sizes of the intersection and the union of their sets."""
+    """(a, b, common, total) of pairs (a, b), a table in the shared folder: exact sizes of the intersection and the union of
+    their sets. The set of b travels to that of a; pairs go to the sets of b where their counted size allows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, of_last = None, None
         for batch in batches:
             common, total = [], []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                both = np.concatenate([np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")])
+                if x is not last and x != last:
+                    last, of_last = x, _six(x)
+                both = np.concatenate([of_last, _six(y)])
                 both.sort()
                 common.append(int((both[1:] == both[:-1]).sum()))
                 total.append(len(both) - common[-1])
@@ -396,7 +415,9 @@ def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     of_a = sets.select(F.col("cid").alias("a"), F.col("tokens").alias("tokens_a"))
     of_b = sets.select(F.col("cid").alias("b"), F.col("tokens").alias("tokens_b"))
-    return pairs.join(of_b, "b").join(of_a, "a").select("a", "b", "tokens_a", "tokens_b").mapInArrow(run, "a long, b long, common long, total long")
+    few = F.broadcast(pairs) if small_enough(pairs, row_bytes=48) else pairs
+    met = of_b.join(few, "b").join(of_a, "a").select("a", "b", "tokens_a", "tokens_b")
+    return materialize(met.mapInArrow(run, "a long, b long, common long, total long"), "measured", WIDE_ROWS)
 
 
 def _is_link() -> Column:
@@ -411,36 +432,40 @@ def _met(keys: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame, DataFr
     A set leaves a bucket's list once it is CLOSE to a pivot. A set that links with it is then at least NEAR that pivot
     (Jaccard distance obeys the triangle inequality, and a link is at most 1/4 long), so both are in one cluster.
     """
-    open_, known = keys, None
+    open_, known, before = keys, None, keys
     for _ in range(PIVOT_ROUNDS):
         # the least number is the set with the smallest share of lone shingles: what copies were made of
         pivots = open_.groupBy("key").agg(F.min("cid").alias("a"), F.max("cid").alias("last")).filter("a < last").drop("last")
         met = materialize(open_.join(pivots, "key").filter("cid != a").withColumnRenamed("cid", "b"), "met")
+        discard(before)
+        before = met
         pairs = met.select("a", "b").distinct()
-        pairs = pairs if known is None else pairs.join(known, ["a", "b"], "left_anti")
-        with arrow_rows(sets.sparkSession, WIDE_ROWS):
-            measured = materialize(_measured(pairs, sets), "measured")
+        pairs = materialize(pairs if known is None else pairs.join(known, ["a", "b"], "left_anti"), "pairs")
+        measured = _measured(pairs, sets)
+        discard(pairs)
         known = measured if known is None else known.union(measured)
         close = known.filter(F.col("common") >= CLOSE * F.col("total")).select("a", "b")
         open_ = met.join(close, ["a", "b"], "left_anti").select("key", F.col("b").alias("cid"))
     counted = open_.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("cid").alias("first")).filter("k > 1")
     open_ = materialize(open_.join(counted, "key"), "far")
-    crowd = open_.filter(F.col("k") > FEW).filter("cid != first").select(F.col("first").alias("a"), F.col("cid").alias("b")).distinct()
+    discard(before)
+    crowd = materialize(open_.filter(F.col("k") > FEW).filter("cid != first").select(F.col("first").alias("a"), F.col("cid").alias("b")).distinct(), "crowd")
     few = open_.filter(F.col("k") <= FEW).select("key", "cid")
     left, right = few.withColumnRenamed("cid", "a"), few.withColumnRenamed("cid", "b")
     sizes = sets.select("cid", "n")
     pairs = left.join(right, "key").filter("a < b").select("a", "b").distinct()
     pairs = pairs.join(known, ["a", "b"], "left_anti")
     pairs = pairs.join(sizes.select(F.col("cid").alias("a"), F.col("n").alias("n_a")), "a").join(sizes.select(F.col("cid").alias("b"), F.col("n").alias("n_b")), "b")
-    pairs = pairs.filter((F.col("n_a") * 100 >= F.col("n_b") * PERCENT) & (F.col("n_b") * 100 >= F.col("n_a") * PERCENT)).select("a", "b")
-    with arrow_rows(sets.sparkSession, WIDE_ROWS):
-        return known, materialize(_measured(pairs, sets), "far-measured"), crowd
+    pairs = materialize(pairs.filter((F.col("n_a") * 100 >= F.col("n_b") * PERCENT) & (F.col("n_b") * 100 >= F.col("n_a") * PERCENT)).select("a", "b"), "pairs")
+    far = _measured(pairs, sets)
+    discard(pairs, open_)
+    return known, far, crowd
 
 
 def _block_links(rows: list[tuple[int, int, bytes]], columns: list[tuple[int, int, bytes]]) -> list[tuple[int, int]]:
     """Links between sets of different components, as a forest: of rows (cid, component, tokens) with columns, from one
     product of matrices over the shingles that both sides have."""
-    of = [np.frombuffer(t, "<u8") for _, _, t in rows], [np.frombuffer(t, "<u8") for _, _, t in columns]
+    of = [_six(t) for _, _, t in rows], [_six(t) for _, _, t in columns]
     both = np.intersect1d(np.unique(np.concatenate(of[0])), np.unique(np.concatenate(of[1])), assume_unique=True)
     common = np.zeros((len(rows), len(columns)), np.float32)
 
@@ -512,44 +537,58 @@ def _within_clusters(members: DataFrame, sets: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def _links(keys: DataFrame, sets: DataFrame) -> DataFrame | None:
-    """(node, component) of the sets with links; None without any."""
+def _links(keys: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, component) of the sets with links."""
     known, far, crowd = _met(keys, sets)
     links = materialize(known.union(far).filter(_is_link()).select("a", "b"), "links")
     linked = components(links)
     near = known.filter(F.col("common") >= NEAR * F.col("total")).select("a", "b")
     # a set may be in a cluster of either kind; their numbers differ in the last bit
-    clusters = [components(edges).select("node", (2 * F.col("component") + kind).alias("cluster")) for kind, edges in enumerate((near, crowd))]
+    found = [components(edges) for edges in (near, crowd)]
+    clusters = [c.select("node", (2 * F.col("component") + kind).alias("cluster")) for kind, c in enumerate(found)]
     members = clusters[0].union(clusters[1]).join(linked, "node", "left")
     members = materialize(members.select(F.col("node").alias("cid"), "cluster", F.coalesce("component", "node").alias("component")), "members")
-    with arrow_rows(sets.sparkSession, WIDE_ROWS):
-        more = materialize(_within_clusters(members, sets), "more-links")
-    return linked if more.isEmpty() else components(links.union(more))
-
-
-def link(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, text_hash of every row of docs (doc_id, text).
-
-    A set is the distinct shingles of five words (all words as one if there are fewer). Documents link when 100 *
-    intersection >= 75 * union; component_id is the least doc_id reachable. Null and blank texts have no set and are
-    linked with nothing: their component is their own id. Rows of null id take part, and don't name a component unless
-    it has no other id (then it is null). Repeated rows are alike; an empty table gives no rows; other columns aren't
-    read. Shingles are compared by 64-bit hashes.
-    """
-    spark = docs.sparkSession
-    profiles = materialize(_profiles(docs), "profiles")
+    discard(*found, far, crowd)
+    more = materialize(_within_clusters(members, sets), "more-links", WIDE_ROWS)
+    discard(members)
+    if more.isEmpty():
+        return linked
+    discard(linked)
+    return components(links.union(more))
+
+
+def _numbered(alive: DataFrame) -> DataFrame:
+    """alive, a table with the numbers of its rows as they were written (number) and a share in thousandths, with cid: the
+    share, then a dense number."""
+    task = F.shiftright("number", 33)
+    sizes = alive.groupBy(task.alias("task")).agg(F.count(F.lit(1)).alias("k"))
+    before = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)  # one row for each task that wrote
+    offsets = sizes.select("task", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("offset"))
+    joined = alive.join(F.broadcast(offsets), task == F.col("task"))
+    place = F.col("offset") + F.col("number").bitwiseAND((1 << 33) - 1)
+    return joined.select("d1", "d2", "n", "least_id", "rep", (F.shiftleft("share", 50) + place).alias("cid"))
+
+
+def _linked(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """What link returns, and the tables in the shared folder that it reads."""
+    wide = materialize(_profiles(docs), "profiles")
+    profiles = materialize(wide.drop("sample"), "facts")
     classes = profiles.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "text_hash")).alias("rep"))
     classes = materialize(classes, "classes")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    lone = _lone_shingles(profiles, parts)
-    # a digest that two classes share counts nothing as lone
-    shared = classes.groupBy("d1").agg(F.count(F.lit(1)).alias("sharers"))
-    known = classes.join(lone, "d1", "left").join(shared, "d1").withColumn("lone", F.when(F.col("sharers") == 1, F.coalesce("lone", F.lit(0))).otherwise(0))
-    alive = known.filter(100 * (F.col("n") - F.col("lone")) >= PERCENT * F.col("n")).select("d1", "d2", "n", "least_id", "rep", (F.col("lone") * 1000 / F.col("n")).cast("long").alias("share"))
-    alive = materialize(alive, "alive").withColumn("cid", F.shiftleft("share", 50) + F.monotonically_increasing_id()).drop("share")
-    alive = materialize(alive, "numbered")
-    with arrow_rows(spark, 1000):
-        sets = materialize(_sets(docs, alive).dropDuplicates(["cid"]), "sets")
+    total = profiles.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    lone = _lone_shingles(wide, total)
+    # a number that two classes share counts nothing as lone
+    number = _class_number(F.col("d1")).alias("of")
+    shared = classes.groupBy(number).agg(F.count(F.lit(1)).alias("sharers"), F.max(F.struct("d1", "d2", "n", "least_id", "rep")).alias("c"))
+    single = shared.filter("sharers = 1").select("of", "c.*").join(lone, F.col("of") == F.col("number"), "left").select("d1", "d2", "n", "least_id", "rep", F.coalesce("lone", F.lit(0)).alias("lone"))
+    several = classes.withColumn("of", number).join(shared.filter("sharers > 1").select("of"), "of", "left_semi").select("d1", "d2", "n", "least_id", "rep", F.lit(0).cast("long").alias("lone"))
+    alive = single.union(several).filter(100 * (F.col("n") - F.col("lone")) >= PERCENT * F.col("n"))
+    share = (F.col("lone") * 1000 / F.col("n")).cast("long")
+    written = materialize(alive.select("d1", "d2", "n", "least_id", "rep", share.alias("share"), F.monotonically_increasing_id().alias("number")), "alive")
+    discard(wide)
+    alive = materialize(_numbered(written), "numbered")
+    discard(written)
+    sets = materialize(_sets(docs, alive).dropDuplicates(["cid"]), "sets")
     largest = sets.agg(F.max("n")).first()[0]
     result = None
     if largest:
@@ -559,8 +598,9 @@ def link(docs: DataFrame) -> DataFrame:
             band = F.when(F.col("n") >= s, k).otherwise(band)
         sizes = {r["band"]: r["count"] for r in sets.groupBy(band.alias("band")).count().collect()}  # as many as bands: the log of the largest size
         plans = {b: allocate(starts[b + 1] - 1 if b + 1 < len(starts) else starts[b], sizes.get(b, 0) + sizes.get(b - 1, 0)) for b in sizes}
-        keys = materialize(_keys(sets, starts, plans, _frequent(sets, parts)), "keys")
+        keys = materialize(_keys(sets, starts, plans, _frequent(sets)), "keys", WIDE_ROWS)
         result = _links(keys, sets)
+    discard(sets)
     if result is not None:
         of_class = alive.join(result.withColumnRenamed("node", "cid"), "cid")
         names = of_class.groupBy("component").agg(F.min("least_id").alias("component_id"))
@@ -569,7 +609,20 @@ def link(docs: DataFrame) -> DataFrame:
     else:
         known = classes.select("d1", "d2", F.col("least_id").alias("component_id"))
     out = profiles.join(known, ["d1", "d2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "text_hash")
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "text_hash")
+    return out, [profiles, classes, alive, *([] if result is None else [result])]
+
+
+def link(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, text_hash of every row of docs (doc_id, text).
+
+    A set is the distinct shingles of five words (all words as one if there are fewer). Documents link when 100 *
+    intersection >= 75 * union; component_id is the least doc_id reachable. Null and blank texts have no set and are
+    linked with nothing: their component is their own id. Rows of null id take part, and don't name a component unless
+    it has no other id (then it is null). Repeated rows are alike; an empty table gives no rows; other columns aren't
+    read. Shingles are told apart by 64-bit hashes within a text, and by 48 bits of them across two texts.
+    """
+    return _linked(docs)[0]
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -577,9 +630,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Rows that repeat an id are one document, so they stay or go together; components of null ids alone stay.
     """
-    found = materialize(link(docs), "components")
+    found, tables = _linked(docs)
     gone = found.filter(F.col("doc_id").isNull() & F.col("component_id").isNotNull() | (F.col("doc_id") != F.col("component_id")))
     gone = materialize(gone.select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct(), "gone")
+    discard(*tables)
     few = F.broadcast(gone) if small_enough(gone, row_bytes=64) else gone
     text_hash = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
     return docs.join(few, docs["doc_id"].cast("long").eqNullSafe(few["gone_id"]) & (text_hash == few["gone_hash"]), "left_anti")

@@ -378,9 +378,9 @@ def test_jaccard_keeps_one(spark):
 
 def test_block_links_find_all():
     draw = np.random.default_rng(2)
-    base = np.unique(draw.integers(0, 1 << 60, 300).astype(np.uint64))
+    base = np.unique(draw.integers(0, 1 << 48, 300).astype(np.uint64))
     sets = [np.sort(np.delete(base, draw.choice(len(base), draw.integers(0, 80), replace=False))) for _ in range(40)]
-    entries = [(k, k, s.tobytes()) for k, s in enumerate(sets)]
+    entries = [(k, k, jaccard._packed(s)) for k, s in enumerate(sets)]
     links = jaccard._block_links(entries[:20], entries[20:])
     import itertools
 
