@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import fresh, materialize, quoted, small_enough
+from quarry.llm.common import BROADCAST_LIMIT_BYTES, fresh, materialize, quoted, small_enough
 
 RATIO = 0.1
 MIN_PAGES = 5
@@ -35,7 +35,7 @@ def boilerplate(pages: DataFrame, host: str = "source", text: str = "text", rati
     return counts.join(t, F.col("host").eqNullSafe(F.col("of"))).filter(F.col("pages") > ratio * F.col("host_pages")).drop("of")
 
 
-def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, broadcast_limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
     """All rows and columns of pages with text less its boilerplate lines, plus n_lines and n_dropped.
 
     Lines are parts between newlines, compared after trimming spaces; blank lines are never dropped. A null text is
@@ -45,14 +45,14 @@ def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text",
     found = materialize(boilerplate(pages, host, text, ratio, min_pages), "boilerplate")
     known, lines = fresh(pages, "known_lines"), fresh(pages, "split_lines")
     n_lines, n_dropped = fresh(pages, "n_lines"), fresh(pages, "n_dropped")
-    of, salt = fresh(pages, "of_host"), fresh(pages, "salt")
+    of, salt, of_salt = fresh(pages, "of_host"), fresh(pages, "salt"), fresh(pages, "of_salt")
     by_host = found.groupBy(F.col("host").alias(of)).agg(F.collect_set("line").alias(known))
-    if small_enough(found, row_bytes=64):
+    if small_enough(found, row_bytes=64, limit=broadcast_limit):
         joined = pages.join(F.broadcast(by_host), F.col(quoted(host)).eqNullSafe(F.col(of)), "left")
     else:
         salted = pages.withColumn(salt, F.pmod(F.xxhash64(F.col(quoted(text))), F.lit(SALTS)).cast("int"))
-        spread = by_host.withColumn("of_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = salted.join(spread, F.col(quoted(host)).eqNullSafe(F.col(of)) & (F.col(salt) == F.col("of_salt")), "left").drop(salt, "of_salt")
+        spread = by_host.withColumn(of_salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = salted.join(spread, F.col(quoted(host)).eqNullSafe(F.col(of)) & (F.col(salt) == F.col(of_salt)), "left").drop(salt, of_salt)
     split = joined.withColumn(lines, _lines(F.col(quoted(text))))
     kept = F.when(F.col(known).isNull(), F.col(lines)).otherwise(F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col(known), _line_key(x))))
     out = split.withColumn(text, kept)
