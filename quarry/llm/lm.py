@@ -1,8 +1,9 @@
 """A log-bilinear language model, trained by noise-contrastive estimation where the data lies, and its token scores.
 
-Words are counted over all training documents. The most frequent ones have vectors; all others share one class, within
-which a word's probability follows its count (unseen words share one further place), so that token probabilities sum
-to one over an open vocabulary. Each round, every task trains a copy of the model on its own documents, and the copies
+Words are counted over all training documents. The most frequent ones have vectors of their own; all others have those of
+their class, which is told by their last letters and within which a word's probability follows its count (unseen words
+share one further place), so that every token is predicted from its context, and token probabilities sum to one over an
+open vocabulary. Each round, every task trains a copy of the model on its own documents, and the copies
 are averaged by weight in blocks of parameters. The prediction is linear in the two context words, so the normaliser of
 every context is one product of two matrices of exponentials.
 
@@ -12,6 +13,8 @@ Counts of words outside a bounded head are joined, not broadcast; no document le
 from __future__ import annotations
 
 import math
+import uuid
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -20,14 +23,17 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import doc_hash_mod, materialize, text_or_empty
 
 FOLDS, HELD_OUT = 7, 2
-#: Words with vectors (with the end token and the class of all others), and words whose counts every worker holds.
-SHORTLIST, HEAD = 2048, 200_000
+#: Words with vectors of their own, classes of all other words, and words whose counts every worker holds. The tables of
+#: normalisers have (1 + SHORTLIST + CLASSES) ** 2 entries in each worker.
+SHORTLIST, CLASSES, HEAD = 1279, 768, 200_000
+#: Last bytes of a word that tell its class.
+ENDING = 3
 DIM, CONTEXT = 24, 2
 NOISE, BATCH, BUFFER = 64, 2048, 1 << 18
 #: Share of the training documents and learning rate of each round; the shares cover them all once.
@@ -37,7 +43,17 @@ BLOCK, FAN_IN = 8192, 256
 #: Distinct words that a counting task holds before it passes them on.
 FLUSH_WORDS = 400_000
 
-END, OTHER = 0, 1  # ids of the end token (also what stands before a text) and of words outside the shortlist
+END = 0  # id of the end token (also what stands before a text); classes follow it, then the shortlist's words
+
+
+def class_id(word: bytes) -> int:
+    """The id of a word outside the shortlist."""
+    return 1 + zlib.crc32(word[-ENDING:]) % CLASSES
+
+
+def _class_of(token: Column) -> Column:
+    """Which class, from 0 on, a word (a string) would be in; the same as class_id, less one."""
+    return (F.crc32(F.substring(token.cast("binary"), -ENDING, ENDING)) % CLASSES).cast("int")
 
 
 class Params(NamedTuple):
@@ -155,9 +171,9 @@ class Vocabulary(NamedTuple):
     ids: dict[bytes, int]  # of the shortlist's words
     tokens: int
     types: int
-    tail_tokens: int  # of words outside the shortlist
-    tail_types: int
-    noise: np.ndarray  # probabilities of the shortlist's ids
+    inside: np.ndarray  # of each class: log10 of its tokens and types and one place for unseen words
+    noise: np.ndarray  # probabilities of the ids
+    share: float  # of the tokens: those of the shortlist's words
 
 
 def vocabulary(counts: DataFrame, shortlist: int = SHORTLIST, head: int = HEAD) -> Vocabulary:
@@ -174,12 +190,17 @@ def vocabulary(counts: DataFrame, shortlist: int = SHORTLIST, head: int = HEAD)
     rows.sort(key=lambda r: (-r["n"], r["token"]))
     known = {r["token"].encode(): r["n"] for r in rows}
     ends = known.get(b"", 0)
-    top = [w for w in known if w][: shortlist - 2]
-    ids = {w: k + 2 for k, w in enumerate(top)}
-    inside = ends + sum(known[w] for w in top)
-    weights = np.array([ends, total["n"] - inside, *(known[w] for w in top)], float) + 1
-    types = len(top) + (1 if ends else 0)
-    return Vocabulary(known, ids, total["n"], total["v"], total["n"] - inside, total["v"] - types, weights / weights.sum())
+    top = [w for w in known if w][:shortlist]
+    ids = {w: k + 1 + CLASSES for k, w in enumerate(top)}
+    tokens, types = np.zeros(CLASSES), np.zeros(CLASSES)
+    for row in counts.filter("token <> ''").groupBy(_class_of(F.col("token")).alias("c")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():  # CLASSES rows at most
+        tokens[row["c"]], types[row["c"]] = row["n"], row["v"]
+    for word in top:
+        c = class_id(word) - 1
+        tokens[c], types[c] = tokens[c] - known[word], types[c] - 1
+    inside = sum(known[w] for w in top)
+    weights = np.concatenate([[ends], tokens, [known[w] for w in top]]) + 1
+    return Vocabulary(known, ids, total["n"], total["v"], np.log10(tokens + types + 1), weights / weights.sum(), inside / max(total["n"], 1))
 
 
 def train(docs: DataFrame, vocab: Vocabulary, rounds=ROUNDS) -> Params:
@@ -211,7 +232,7 @@ def train(docs: DataFrame, vocab: Vocabulary, rounds=ROUNDS) -> Params:
 
             for batch in batches:
                 for text in batch.column(0).cast(pa.binary()).to_pylist():
-                    held.append([known.get(w, OTHER) for w in tokens_of(text)])
+                    held.append([known.get(w) or class_id(w) for w in tokens_of(text)])
                     size += len(held[-1]) + 1
                     if size >= BUFFER:
                         total += learn()
@@ -257,20 +278,23 @@ class Tables(NamedTuple):
         return self.first[near, target] + self.second[far, target] - self.log_total[near, far]
 
 
-_TABLES: dict[int, Tables] = {}
+class _Shared(NamedTuple):
+    """What scoring tasks share; the key is another one for each model, so that a worker never takes an earlier model's tables."""
 
+    key: str
+    vocab: Vocabulary
+    params: Params
 
-def _tables(params) -> Tables:
-    """A worker's tables of the broadcast model, made once and kept for its next tasks."""
-    if params.id not in _TABLES:
-        _TABLES.clear()
-        _TABLES[params.id] = Tables.of(params.value)
-    return _TABLES[params.id]
 
+_TABLES: dict[str, Tables] = {}
 
-class _Shared(NamedTuple):
-    id: int
-    value: Params
+
+def _tables(shared: _Shared) -> Tables:
+    """A worker's tables of the broadcast model, made once and kept for its next tasks."""
+    if shared.key not in _TABLES:
+        _TABLES.clear()
+        _TABLES[shared.key] = Tables.of(shared.params)
+    return _TABLES[shared.key]
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -287,16 +311,20 @@ def score(docs: DataFrame) -> DataFrame:
     counts = materialize(count_words(training), "word-counts")
     vocab = vocabulary(counts)
     params = train(training, vocab)
-    shared = context.broadcast((vocab, params))
-    token = id(shared)
+    shared = context.broadcast(_Shared(uuid.uuid4().hex, vocab, params))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, params = shared.value
-        tables, ids, known = _tables(_Shared(token, params)), vocab.ids, vocab.counts
-        base, inside = math.log10(vocab.tokens + vocab.types + 1), math.log10(vocab.tail_tokens + vocab.tail_types + 1)
-        # of a head word: id, log10 of its base probability, log10 of its probability among words outside the shortlist
-        facts = {w: (ids.get(w, OTHER), math.log10(n + 1) - base, 0.0 if w in ids else math.log10(n + 1) - inside) for w, n in known.items()}
-        missing = (OTHER, 0.0, 0.0)
+        vocab, inside = shared.value.vocab, [0.0, *shared.value.vocab.inside.tolist()]
+        tables, ids, known = _tables(shared.value), vocab.ids, vocab.counts
+        base = math.log10(vocab.tokens + vocab.types + 1)
+
+        def fact(word: bytes, n: int) -> tuple[int, float, float]:
+            """id, log10 of the base probability, log10 of the probability within the word's class."""
+            if word in ids:
+                return ids[word], math.log10(n + 1) - base, 0.0
+            return class_id(word), math.log10(n + 1) - base, math.log10(n + 1) - inside[class_id(word)]
+
+        facts = {w: fact(w, n) for w, n in known.items()}
         end_base = math.log10(known.get(b"", 0) + 1) - base
         uid = TaskContext.get().partitionId() << 33
         for batch in batches:
@@ -305,8 +333,11 @@ def score(docs: DataFrame) -> DataFrame:
                 streams, rows = [], []
                 for text in texts[at : at + 256]:
                     words = tokens_of(text)
-                    found = [facts.get(w, missing) for w in words]
-                    tail = Counter(w for w, f in zip(words, found, strict=True) if f is missing)
+                    found = [facts.get(w) for w in words]
+                    tail = Counter(w for w, f in zip(words, found, strict=True) if f is None)
+                    # a tail word's count is joined later; what doesn't depend on it is known here
+                    missing = {w: (class_id(w), 0.0, -inside[class_id(w)]) for w in tail}
+                    found = [f or missing[w] for w, f in zip(words, found, strict=True)] if tail else found
                     streams.append([f[0] for f in found])
                     known_words = len(words) - sum(tail.values()) + (b"" in known)
                     rows.append((uid, len(words) + 1, known_words, end_base + sum(f[1] for f in found), sum(f[2] for f in found), list(tail.keys()), list(tail.values())))
@@ -328,10 +359,10 @@ def score(docs: DataFrame) -> DataFrame:
     rows = materialize(docs.select(F.col("doc_id").cast("long"), held_out.alias("held_out"), text_or_empty().alias("text")).mapInArrow(run, schema), "scored")
     tail = rows.select("uid", F.explode(F.arrays_zip("words", "times")).alias("t")).select("uid", F.col("t.words").alias("token"), F.col("t.times").alias("times"))
     n = F.coalesce("n", F.lit(0))
-    base, inside = math.log10(vocab.tokens + vocab.types + 1), math.log10(vocab.tail_tokens + vocab.tail_types + 1)
+    base = math.log10(vocab.tokens + vocab.types + 1)
     log_n = F.log10((n + 1).cast("double"))
     rest = tail.join(counts, "token", "left").groupBy("uid").agg(
-        F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("n_tail"), F.sum(F.col("times") * (log_n - base)).alias("tail_base"), F.sum(F.col("times") * (log_n - inside)).alias("tail_model"),
+        F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("n_tail"), F.sum(F.col("times") * (log_n - base)).alias("tail_base"), F.sum(F.col("times") * log_n).alias("tail_model"),
     )
     zero = F.lit(0.0)
     return rows.drop("words", "times").join(rest, "uid", "left").select(
