@@ -42,16 +42,47 @@ def _found(text: Column, pattern: str) -> Column:
     return F.when(text.rlike(pattern), F.struct(m.alias("m"), gaps.alias("gaps")))
 
 
-def _starts(found: str) -> Column:
-    """Matches as struct(start, s): each begins after all gaps so far and all matches before."""
-    sum_of = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
-    m, gaps = F.col(f"{found}.m"), F.col(f"{found}.gaps")
-    at = lambda x, i: F.struct((sum_of(F.slice(gaps, 1, i + 1)) + sum_of(F.transform(F.slice(m, 1, i), F.length))).alias("start"), x.alias("s"))
-    return F.coalesce(F.transform(m, at), F.array().cast("array<struct<start:int,s:string>>"))
+def _sum(xs: Column) -> Column:
+    return F.aggregate(xs, F.lit(0), lambda a, x: a + x)
+
+
+_FOUND = ("assign", "access", "hex", "token")
+
+
+def _with_starts(found: DataFrame, *kept: str) -> DataFrame:
+    """kept columns, and for each of _FOUND its matches as struct(start, s): each begins after all gaps so far and all matches
+    before. Sums run in blocks of the root of their number, so that n matches cost n times that root.
+
+    What lambdas refer to is held as a column first, or they would work it out again for each element.
+    """
+    lengths = lambda f: F.zip_with(f"{f}.gaps", F.concat(F.array(F.lit(0)), F.transform(f"{f}.m", F.length)), lambda g, m: g + m)
+    root = lambda f: F.greatest(F.ceil(F.sqrt(F.size(f"{f}.gaps").cast("double"))).cast("int"), F.lit(1))
+    facts = found.select(*kept, _held(F.struct(*[F.when(F.col(f).isNotNull(), F.struct(F.col(f)["m"].alias("m"), lengths(f).alias("steps"), root(f).alias("b"))).alias(f) for f in _FOUND])).alias("f"))
+
+    def blocks(f: str) -> Column:
+        steps, b = F.col(f"f.{f}.steps"), F.col(f"f.{f}.b")
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / b).cast("int")), lambda k: _sum(F.slice(steps, k * b + 1, b)))
+
+    summed = facts.select(*kept, "f", _held(F.struct(*[F.when(F.col(f"f.{f}").isNotNull(), blocks(f)).alias(f) for f in _FOUND])).alias("g"))
+    heads = lambda f: F.transform(F.col(f"g.{f}"), lambda x, k: _sum(F.slice(F.col(f"g.{f}"), F.lit(1), k)))
+    headed = summed.select(*kept, "f", _held(F.struct(*[heads(f).alias(f) for f in _FOUND])).alias("h"))
+
+    def starts(f: str) -> Column:
+        steps, b = F.col(f"f.{f}.steps"), F.col(f"f.{f}.b")
+        block = lambda i: F.floor(i / b).cast("int")
+        at = lambda x, i: F.struct((F.get(F.col(f"h.{f}"), block(i)) + _sum(F.slice(steps, block(i) * b + 1, i - block(i) * b + 1))).alias("start"), x.alias("s"))
+        return F.coalesce(F.transform(F.col(f"f.{f}.m"), at), F.array().cast("array<struct<start:int,s:string>>")).alias(f)
+
+    return headed.select(*kept, *[starts(f) for f in _FOUND])
+
+
+def _held(column: Column) -> Column:
+    """A generated column: the optimizer doesn't write its expression again into each use (as in lambdas)."""
+    return F.explode(F.array(column))
 
 
 def _spans(found: str, kind: int, passes) -> Column:
-    kept = F.filter(_starts(found), lambda x: passes(x["s"]))
+    kept = F.filter(found, lambda x: passes(x["s"]))
     return F.transform(kept, lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), (x["start"] + F.length(x["s"])).alias("end")))
 
 
@@ -61,20 +92,32 @@ def _joined(spans: Column) -> Column:
 
 
 def _bare(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, base spans in order, and the long tokens that no base span touches, of each row."""
+    """doc_id, text_hash, base spans in order, and the long tokens of each row."""
     text = F.coalesce(F.col("text"), F.lit(""))
     found = docs.select(
         "doc_id", F.xxhash64(text).alias("text_hash"),
-        _found(text, ASSIGN).alias("assign"), _found(text, ACCESS).alias("access"), _found(text, HEX).alias("hex"), _found(text, TOKEN).alias("token"),
-    )
+        _held(F.struct(_found(text, ASSIGN).alias("assign"), _found(text, ACCESS).alias("access"), _found(text, HEX).alias("hex"), _found(text, TOKEN).alias("token"))).alias("x"),
+    ).select("doc_id", "text_hash", "x.*")
     value = lambda s: F.length(F.regexp_extract(s, ASSIGN, 2)) >= LEAST_ASSIGN
-    held = found.select("doc_id", "text_hash", F.explode(F.array(F.struct("assign", "access", "hex", "token"))).alias("f"))
-    spans = held.select(
-        "doc_id", "text_hash", _starts("f.token").alias("tokens"),
-        F.array_sort(F.concat(_spans("f.assign", 0, value), _spans("f.access", 1, lambda s: F.length(s) >= LEAST_ACCESS), _spans("f.hex", 2, lambda s: F.lit(True)))).alias("base"),
-    )
-    free = lambda t: ~F.exists("base", lambda b: (b["start"] < t["start"] + F.length(t["s"])) & (t["start"] < b["end"]))
-    return spans.select("doc_id", "text_hash", "base", F.filter("tokens", free).alias("tokens"))
+    base = F.concat(_spans("assign", 0, value), _spans("access", 1, lambda s: F.length(s) >= LEAST_ACCESS), _spans("hex", 2, lambda s: F.lit(True)))
+    return _with_starts(found, "doc_id", "text_hash").select("doc_id", "text_hash", F.array_sort(base).alias("base"), F.col("token").alias("tokens"))
+
+
+def _free_tokens(rows: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, start, s) of the tokens that no base span touches, from rows of one each text: along a text, no
+    span that began before ends beyond the token's start, and none that begins later does so before its end."""
+    key = ["doc_id", "text_hash"]
+    alone = rows.filter("size(base) = 0").select(*key, F.inline("tokens"))
+    both = rows.filter("size(base) > 0")
+    whole = F.lit(None).cast("int")
+    tokens = both.select(*key, F.inline("tokens")).select(*key, "start", "s", whole.alias("base_start"), whole.alias("base_end"))
+    base = both.select(*key, F.inline("base")).select(*key, "start", F.lit(None).cast("string").alias("s"), F.col("start").alias("base_start"), F.col("end").alias("base_end"))
+    along = Window.partitionBy(*key).orderBy("start")
+    before = F.max("base_end").over(along.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    after = F.min("base_start").over(along.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    seen = tokens.union(base).withColumns({"before": before, "after": after}).filter("s IS NOT NULL")
+    free = seen.filter("coalesce(before <= start, true) AND coalesce(after >= start + length(s), true)")
+    return alone.union(free.select(*key, "start", "s"))
 
 
 def _scores(tokens: DataFrame) -> DataFrame:
@@ -151,12 +194,11 @@ def scan(docs: DataFrame, rate: float = RATE) -> DataFrame:
     no rows; other columns aren't read.
     """
     bare = materialize(_bare(docs), "spans")
-    listed = bare.filter(F.size("tokens") > 0).select("doc_id", "text_hash", "tokens").distinct()
-    tokens = listed.select("doc_id", "text_hash", F.inline("tokens"))
+    tokens = _free_tokens(bare.filter(F.size("tokens") > 0).dropDuplicates(["doc_id", "text_hash"]))
     span = F.struct("start", F.lit(3).alias("kind"), (F.col("start") + F.length("s")).alias("end"))
     added = random_tokens(tokens, rate).groupBy("doc_id", "text_hash").agg(F.collect_list(span).alias("random"))
     added = added.select(F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash"), "random")
-    # only rows with tokens are joined
+    # only rows with long tokens are joined
     some, none = bare.filter(F.size("tokens") > 0), bare.filter(F.size("tokens") == 0)
     joined = some.join(added, some["doc_id"].eqNullSafe(added["of_id"]) & (some["text_hash"] == added["of_hash"]), "left").drop("of_id", "of_hash")
     rows = joined.unionByName(none.withColumn("random", F.lit(None).cast("array<struct<start:int,kind:int,end:int>>")))
