@@ -4,7 +4,9 @@ Each 100-byte string is represented by the least hash among its 24-byte pieces,
 anchors at equal distances. Neighbouring strings with one anchor form a segment. Segments that are equal, anchor and
 all, are settled by their place alone: all but the first go. First segments with a common anchor but different
 surroundings meet in a task, where a suffix array over their words, counted from the anchor, finds the strings that
-they share; bytes are compared before anything is removed.
+they share; bytes are compared before anything is removed. An anchor with a crowd of different surroundings is split by
+what stands around it: strings that begin at nearly the same distance before the anchor share a longer core, and those
+of one core meet; a core with a crowd is split by exact distance, where equal strings are told by their hash.
 
 What leaves a task is a few bytes for each segment that is the first of its kind there, so copies are settled where
 they lie; texts are moved only to fetch the segments in question and to apply the result.
@@ -14,19 +16,28 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from quarry.llm.common import materialize, text_or_empty
+from quarry.llm.common import by_part, dealt, materialize, parts_for, small_enough, text_or_empty
 from quarry.llm.suffix_array import suffix_array
 
 LENGTH, PIECE = 100, 24
 #: Bytes of texts that a task takes together, and bytes of segments of a suffix array's block (whole anchor groups).
 BATCH_BYTES, BLOCK_BYTES = 2 << 20, 1 << 20
+#: Bytes of segments' facts that a task holds at once, bytes of them for each byte of text, and segments from which an anchor
+#: or a core is a crowd.
+PART_BYTES, FACT_SHARE, CROWD = 12 << 20, 0.95, 2048
+#: Distances from the anchor that share a core.
+NEAR_DISTANCES = 10
 WORD = 8
 #: Words that any string of LENGTH bytes holds whole, wherever it begins.
 WHOLE_WORDS = (LENGTH - WORD + 1) // WORD
@@ -125,10 +136,29 @@ def _from_planes(blob: memoryview, at: int, n: int, kind: str) -> tuple[np.ndarr
 _FIELDS = (("anchor", "<u8"), ("segment", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("begin", "<i8"), ("length", "<u2"), ("offset", "<u2"))
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """doc_id (null: least), row (a number by place in the table's files), text."""
+class _Rows(NamedTuple):
+    """The rows of a table by their place: (doc, row, doc_id, text), a null id as the least; and the bytes of all texts."""
+
+    frame: DataFrame
+    size: int
+
+
+def _numbered(docs: DataFrame) -> _Rows:
+    """Numbers rows by file and place in it, which no other division of the files into tasks can change. A frame that is no
+    scan of files is written first."""
+    try:
+        placed = docs.select("doc_id", "text", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
+    except AnalysisException:
+        return _numbered(materialize(docs.select("doc_id", "text"), "documents"))
+    size = F.sum(F.octet_length(text_or_empty()))
+    files = placed.groupBy("file").agg(F.coalesce(size, F.lit(0)).alias("size"))
+    ordinal = F.row_number().over(Window.orderBy("file")).cast("long")  # one row a file
+    files = materialize(files.select(F.col("file").alias("of_file"), ordinal.alias("ordinal"), "size"), "files")
+    few = F.broadcast(files) if small_enough(files, row_bytes=300) else files
     least = F.lit(-(1 << 63)).cast("long")
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), least).alias("doc"), F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    row = F.shiftleft("ordinal", 36) + F.col("place")
+    rows = placed.join(few, F.col("file") == F.col("of_file")).select(F.coalesce(F.col("doc_id").cast("long"), least).alias("doc"), row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    return _Rows(rows, files.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0])
 
 
 def _batches(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple[list[list], list[bytes]]]:
@@ -172,7 +202,7 @@ def _segments(rows: DataFrame, parts: int) -> DataFrame:
             blobs = [b"".join(_planes(np.ascontiguousarray(found[f][a:b])) for f, _ in _FIELDS) for a, b in zip(cuts, np.append(cuts[1:], len(part)), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(part[cuts], pa.int32()), pa.array([0] * len(cuts), pa.int32()), pa.array(blobs, pa.binary())], names=["part", "kind", "blob"])
 
-    return rows.select("doc", "row", "text").mapInArrow(run, "part int, kind int, blob binary").repartition(parts, "part")
+    return dealt(rows.select("doc", "row", "text").mapInArrow(run, "part int, kind int, blob binary"), parts)
 
 
 def _removals(row: np.ndarray, begin: np.ndarray, end: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
@@ -207,21 +237,24 @@ def _settled(segments: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x[cut]) for x in (row, doc, gone, begin, end, anchor, offset)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in by_part(batches):
+            yield from settle(rows)
+
+    def settle(rows: list[dict]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {f: [] for f, _ in _FIELDS}
         size = sum(np.dtype(k).itemsize for _, k in _FIELDS)
-        for batch in batches:
-            for kind, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if kind == 0:
-                    at = 0
-                    for field, form in _FIELDS:
-                        values, at = _from_planes(blob, at, len(blob) // size, form)
-                        held[field].append(values)
-                else:
-                    n, at = len(blob) // 24, 0
-                    row, at = _from_planes(blob, at, n, "<i8")
-                    begin, at = _from_planes(blob, at, n, "<i8")
-                    end, at = _from_planes(blob, at, n, "<i8")
-                    yield from out(row, row, np.ones(n, bool), begin, end, row, row)
+        for kind, blob in ((r["kind"], r["blob"]) for r in rows):
+            if kind == 0:
+                at = 0
+                for field, form in _FIELDS:
+                    values, at = _from_planes(blob, at, len(blob) // size, form)
+                    held[field].append(values)
+            else:
+                n, at = len(blob) // 24, 0
+                row, at = _from_planes(blob, at, n, "<i8")
+                begin, at = _from_planes(blob, at, n, "<i8")
+                end, at = _from_planes(blob, at, n, "<i8")
+                yield from out(row, row, np.ones(n, bool), begin, end, row, row)
         if not held["anchor"]:
             return
         f = {k: np.concatenate(v) for k, v in held.items()}
@@ -248,8 +281,11 @@ def _settled(segments: DataFrame) -> DataFrame:
     return segments.mapInArrow(run, "row long, doc long, gone boolean, begin long, end long, anchor long, offset long")
 
 
-def _fetched(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(anchor, offset, doc, row, begin, bytes) of the segments in question."""
+_SEGMENT = "key long, offset long, doc long, row long, begin long, bytes binary"
+
+
+def _fetched(rows: DataFrame, wanted: DataFrame, crowded: bool) -> DataFrame:
+    """(key, offset, doc, row, begin, bytes) of the segments in question; the key is the anchor, or, of crowded ones, the core."""
     lists = wanted.groupBy(F.col("row").alias("of_row")).agg(F.collect_list(F.struct("anchor", "offset", "begin", "end")).alias("segments"))
     joined = rows.join(lists, F.col("row") == F.col("of_row")).select("doc", "row", "segments", "text")
 
@@ -259,11 +295,45 @@ def _fetched(rows: DataFrame, wanted: DataFrame) -> DataFrame:
             docs, numbers, lists, texts = (batch.column(k) for k in range(4))
             for doc, row, some, text in zip(docs.to_pylist(), numbers.to_pylist(), lists.to_pylist(), texts.cast(pa.binary()).to_pylist(), strict=True):
                 for s in some:
-                    for column, value in zip(out, (s["anchor"], s["offset"], doc, row, s["begin"], text[s["begin"] : s["end"]]), strict=True):
+                    whole = (s["anchor"], s["offset"], s["begin"], text[s["begin"] : s["end"]])
+                    for key, offset, begin, stretch in cores(*whole, NEAR_DISTANCES) if crowded else [whole]:
+                        for column, value in zip(out, (key, offset, doc, row, begin, stretch), strict=True):
+                            column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k == 5 else pa.int64()) for k, c in enumerate(out)], names=["key", "offset", "doc", "row", "begin", "bytes"])
+
+    return joined.mapInArrow(run, _SEGMENT)
+
+
+def cores(anchor: int, offset: int, begin: int, segment: bytes, distances: int) -> Iterator[tuple[int, int, int, bytes]]:
+    """A segment's strings by distance from their beginning to the anchor, so many distances together: (key, offset, begin,
+    bytes) of each stretch. The key is a hash of the anchor, of the distances and of the bytes that all strings of these
+    distances hold, so equal strings have equal keys whatever segments they are in."""
+    for low in range(0, LENGTH - PIECE + 1, distances):
+        high = min(low + distances - 1, LENGTH - PIECE)
+        first, last = max(offset - high, 0), min(offset - low, len(segment) - LENGTH)
+        if first <= last:
+            core = segment[offset - low : offset - high + LENGTH]
+            key = xxhash.xxh64_intdigest(core, seed=(anchor + low * 0x9E3779B97F4A7C15 + distances) & (1 << 64) - 1)
+            yield key - (1 << 64) if key >> 63 else key, offset - first, begin + first, segment[first : last + LENGTH]
+
+
+def _told_by_hash(segments: DataFrame) -> DataFrame:
+    """(row, begin, end) of the strings of crowded cores that begin earlier elsewhere: least places by distance and content."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[] for _ in range(4)]
+            for key, offset, doc, row, begin, stretch in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+                for one, _, at, _ in cores(key, offset, begin, stretch, 1):
+                    for column, value in zip(out, (one, doc, row, at), strict=True):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k == 5 else pa.int64()) for k, c in enumerate(out)], names=["anchor", "offset", "doc", "row", "begin", "bytes"])
+            for at in range(0, len(out[0]), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 50_000], pa.int64()) for c in out], names=["key", "doc", "row", "begin"])
 
-    return joined.mapInArrow(run, "anchor long, offset long, doc long, row long, begin long, bytes binary")
+    strings = segments.mapInArrow(run, "key long, doc long, row long, begin long")
+    place = F.struct("doc", "row", "begin")
+    first = strings.groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k")
+    return strings.join(first, "key").filter(place != F.col("first")).select("row", "begin", (F.col("begin") + LENGTH).alias("end"))
 
 
 def shared_strings(anchor: np.ndarray, offset: np.ndarray, doc: np.ndarray, row: np.ndarray, begin: np.ndarray, segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -323,7 +393,7 @@ def shared_strings(anchor: np.ndarray, offset: np.ndarray, doc: np.ndarray, row:
 
 
 def _compared(fetched: DataFrame) -> DataFrame:
-    """(row, begin, end) to remove, from segments dealt by anchor and sorted by it, in blocks of whole anchor groups."""
+    """(row, begin, end) to remove, from segments dealt by key (anchor or core) and sorted by it, in blocks of whole groups."""
 
     def settle(rows: list[tuple]) -> pa.RecordBatch:
         anchor, offset, doc, row, begin = (np.array(c, np.int64) for c in list(zip(*rows, strict=True))[:5])
@@ -346,28 +416,37 @@ def _compared(fetched: DataFrame) -> DataFrame:
         if held:
             yield settle(held)
 
-    return fetched.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "row long, begin long, end long")
+    return fetched.repartition("key").sortWithinPartitions("key").mapInArrow(run, "row long, begin long, end long")
 
 
-def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def repeats(docs: DataFrame, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
     """The numbered rows of docs, and (row, begin, end) of what to remove from them; stretches may overlap."""
-    rows = _numbered(docs)
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    settled = materialize(_settled(_segments(rows, parts)), "settled")
+    rows, size = _numbered(docs)
+    settled = materialize(_settled(_segments(rows, parts_for(FACT_SHARE * size, PART_BYTES))), "settled")
     wanted = settled.filter(~F.col("gone")).select("row", "anchor", "offset", "begin", "end")
-    compared = _compared(_fetched(rows, wanted))
+    crowded = materialize(wanted.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > crowd).select("anchor"), "crowded")
+    if crowded.isEmpty():
+        compared = _compared(_fetched(rows, wanted, False))
+    else:
+        few = F.broadcast(crowded) if small_enough(crowded, row_bytes=32) else crowded
+        split = materialize(_fetched(rows, wanted.join(few, "anchor", "left_semi"), True), "split")
+        full = materialize(split.groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > crowd).select("key"), "crowded-cores")
+        full = F.broadcast(full) if small_enough(full, row_bytes=32) else full
+        alone = _fetched(rows, wanted.join(few, "anchor", "left_anti"), False).union(split.join(full, "key", "left_anti").select(split.columns))
+        compared = _compared(alone).union(_told_by_hash(split.join(full, "key", "left_semi").select(split.columns)))
     return rows, settled.filter("gone").select("row", "begin", "end").unionByName(compared)
 
 
-def dedup(docs: DataFrame, with_text: bool = True) -> DataFrame:
+def dedup(docs: DataFrame, with_text: bool = True, crowd: int = CROWD) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (the bytes left) of every row of docs.
 
     Removed is each byte that a 100-byte string covers which also begins earlier: in a row of smaller doc_id, or sooner
-    in the same one; strings are those of the input, and none crosses rows. docs is a table read from files, whose rows
-    are numbered by their place. Null texts are empty; null ids come before all others; rows of one id count in the
-    table's order; an empty table gives no rows; other columns aren't read.
+    in the same one; strings are those of the input, and none crosses rows. Rows are numbered by their place in the files of
+    docs (a frame that isn't read from files is written first), so another division into tasks changes nothing. Null texts
+    are empty; null ids come before all others; rows of one id count in the table's order (files by name); an empty table
+    gives no rows; other columns aren't read.
     """
-    rows, gone = repeats(docs)
+    rows, gone = repeats(docs, crowd)
     lists = gone.groupBy(F.col("row").alias("of_row")).agg(F.collect_list(F.struct("begin", "end")).alias("gone"))
     joined = rows.select("doc_id", "row", "text").join(lists, F.col("row") == F.col("of_row"), "left").select("doc_id", "gone", "text")
 
