@@ -1,4 +1,10 @@
-"""From raw documents to packed training sequences, in five stages; each takes what the one before kept."""
+"""From raw documents to packed training sequences, in five stages; each takes what the one before kept.
+
+Null and empty texts are documents like others: nothing in them is toxic, boilerplate, a copy or a benchmark item, so they
+stay, and are packed as their end token. Null ids stay. Rows that repeat an id and a text go or stay together in the stages
+that drop rows, but for the near-duplicate stage, where rows of one id are one document. Ties go to the least id. Empty
+tables pass through, and columns besides those of documents are kept by all stages but the last, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import decontaminate, jaccard, line_dedup, packing, toxicity
 from quarry.llm.catalog import TOKENIZER
-from quarry.llm.common import materialize, read
+from quarry.llm.common import discard, materialize, quoted, read
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,9 +22,11 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def line_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5: boilerplate lines of a source go; every document stays."""
-    kept = line_dedup.drop_boilerplate(docs).drop("n_lines", "n_dropped")
-    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    """Operator 5: boilerplate lines of a source go; every document stays. n_chars, if there, is counted anew."""
+    kept = line_dedup.drop_boilerplate(docs).select(*[quoted(c) for c in docs.columns])
+    if "n_chars" not in docs.columns:
+        return kept
+    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,10 +57,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pieces of all documents that the stages keep. Each stage's result but the last is written and read again."""
+    """The pieces of all documents that the stages keep. Each stage's result but the last is written and read again, and goes
+    when the next one is there."""
     docs = read(spark, sf_dir, "documents")
-    for number, (name, stage) in enumerate(STAGES, 1):
-        docs = stage(spark, docs, sf_dir)
-        if number < len(STAGES):
-            docs = materialize(docs, name)
-    return docs
+    for name, stage in STAGES[:-1]:
+        kept = materialize(stage(spark, docs, sf_dir), name)
+        discard(docs)
+        docs = kept
+    return STAGES[-1][1](spark, docs, sf_dir)
