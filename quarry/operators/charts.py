@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarry.functions.kinds import as_measure, value_text
+from quarry.operators.quantiles import joined_by, quantiles
 from quarry.operators.stats import bin_index, bins_of, histogram, measured
 from quarry.plans.meta import ColumnMeta, Dataset, DatasetMeta
 from quarry.plans.spec import Chart, Filter
@@ -41,11 +42,19 @@ def _mark(fn: str, y: ColumnMeta | None) -> Column:
     if not y.quantitative:
         return {"sum": F.lit(0.0), "nulls": F.lit(0.0), "distinct": F.lit(0.0)}.get(fn, F.lit(None).cast("double"))
     return {
-        "sum": lambda: F.coalesce(F.sum(c), F.lit(0.0)), "avg": lambda: F.avg(c), "min": lambda: F.min(c), "max": lambda: F.max(c), "median": lambda: F.median(c),
+        "sum": lambda: F.coalesce(F.sum(c), F.lit(0.0)), "avg": lambda: F.avg(c), "min": lambda: F.min(c), "max": lambda: F.max(c), "median": lambda: F.lit(None).cast("double"),
         "nulls": lambda: F.count_if(c.isNull()).cast("double"), "distinct": lambda: F.count_distinct(c).cast("double"),
     }[fn]()
 
 
+def _marks(rows: DataFrame, by: list[str], fn: str, y: ColumnMeta | None, *more: Column) -> DataFrame:
+    """by, y and rows of each mark; medians are joined, as they take ranks rather than one task's list of values."""
+    out = rows.groupBy(*by).agg(_mark(fn, y).alias("y"), F.count(F.lit(1)).alias("rows"), *more)
+    if fn == "median" and y is not None and y.quantitative:
+        out = joined_by(out.drop("y"), quantiles(rows, by, "y", (0.5,)), by, "q0", "y")
+    return out
+
+
 def chart(ds: Dataset, rows: DataFrame, spec: Chart) -> ChartResult:
     """The data of a chart: (x, y, rows) of bars, slices and lines; (bin_start, bin_end, count); or (x, y) of points.
 
@@ -71,22 +80,18 @@ def chart(ds: Dataset, rows: DataFrame, spec: Chart) -> ChartResult:
     base = rows.filter(c.isNotNull())
     facts = {"x_is_date": x.kind == "date"}
     if x.quantitative:
-        v = as_measure(c, x.kind)
-        if x.distinct_count < 0 or x.distinct_count > AXIS_VALUES:
-            ends = measured(ds, rows, x.id).agg(F.min("v").alias("a"), F.max("v").alias("b")).first()
-            if ends["a"] is None:
-                return _empty(rows, schema, label)
-            bins = bins_of(x, ends["a"], ends["b"], spec.bins or AXIS_BINS)
-            facts["bin_width"] = bins.width
-            v = F.lit(float(bins.start)) + bin_index(v, bins).cast("double") * F.lit(float(bins.width))
-        key = v
+        key, width = _axis(ds, rows, x, spec)
+        if key is None:
+            return _empty(rows, schema, label)
+        if width is not None:
+            facts["bin_width"] = width
         text = value_text(F.timestamp_millis(F.col("x").cast("bigint")), "date") if x.kind == "date" else value_text(F.col("x"), "float")
     else:
         key, text = F.lit(None).cast("double"), F.col("label")
     shown = value_text(c, x.kind) if not x.quantitative else F.lit(None).cast("string")
     marks = base.select(shown.alias("label"), key.alias("x"), measure.alias("y"), F.col(Dataset.RID).alias("__rid"))
     by = ["x"] if x.quantitative else ["label"]
-    whole = marks.groupBy(*by).agg(_mark(fn, y).alias("y"), F.count(F.lit(1)).alias("rows"), F.min("__rid").alias("__first"))
+    whole = _marks(marks, by, fn, y, F.min("__rid").alias("__first"))
     if ordered_line:
         data = whole.select(text.alias("label"), "x", "y", "rows").orderBy("x")
         return ChartResult(data, label, facts | {"truncated": False})
@@ -97,19 +102,37 @@ def chart(ds: Dataset, rows: DataFrame, spec: Chart) -> ChartResult:
     top = kept.withColumn("position", F.row_number().over(Window.orderBy(rank.desc())))  # limit rows
     keys = F.broadcast(kept.select(F.col(by[0]).alias("__key")))
     rest = marks.join(keys, marks[by[0]].eqNullSafe(F.col("__key")), "left_anti")
-    other = rest.agg(_mark(fn, y).alias("y"), F.count(F.lit(1)).alias("rows")).filter("rows > 0")
+    other = _marks(rest, [], fn, y).filter("rows > 0")
     named = top.select((text if x.quantitative else F.col("label")).alias("label"), F.col("x") if x.quantitative else F.lit(None).cast("double").alias("x"), "y", "rows", "position")
     tail = other.select(F.lit(OTHER).alias("label"), F.lit(None).cast("double").alias("x"), F.coalesce("y", F.lit(0.0)).alias("y"), "rows", F.lit(limit + 1).alias("position"))
     return ChartResult(named.unionByName(tail), label, facts)
 
 
+def _axis(ds: Dataset, rows: DataFrame, x: ColumnMeta, spec: Chart) -> tuple[Column | None, float | None]:
+    """What marks of a bar, pie or line chart are told by, and the width of its bins if it has any; none without values."""
+    c = F.col(f"`{x.id}`")
+    if not x.quantitative:
+        return c, None
+    v = as_measure(c, x.kind)
+    if 0 <= x.distinct_count <= AXIS_VALUES:
+        return v, None
+    ends = measured(ds, rows, x.id).agg(F.min("v").alias("a"), F.max("v").alias("b")).first()
+    if ends["a"] is None:
+        return None, None
+    bins = bins_of(x, ends["a"], ends["b"], spec.bins or AXIS_BINS)
+    return F.lit(float(bins.start)) + bin_index(v, bins).cast("double") * F.lit(float(bins.width)), bins.width
+
+
 def facts_of(ds: Dataset, rows: DataFrame, spec: Chart) -> dict:
     """total_categories, truncated and sampled (rows that reach a mark) of a bar, pie or line chart."""
     x = ds.meta.column(spec.x)
     if x is None:
         return {"total_categories": 0, "truncated": False, "sampled": 0}
-    c = F.col(f"`{x.id}`")
-    r = rows.agg(F.count_distinct(c).alias("k"), F.count(c).alias("n")).first()
+    # marks: the bins of a binned axis, else the values
+    key, _ = _axis(ds, rows, x, spec)
+    if key is None:
+        return {"total_categories": 0, "truncated": False, "sampled": 0}
+    r = rows.agg(F.count_distinct(key).alias("k"), F.count(key).alias("n")).first()
     return {"total_categories": r["k"], "truncated": r["k"] > max(1, spec.limit or LIMIT) and not (spec.kind == "line" and x.quantitative), "sampled": r["n"]}
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.kinds import as_measure
+from quarry.operators.quantiles import joined_by, quantiles
 from quarry.plans.meta import Dataset
 from quarry.plans.spec import Agg, Group, Sort
 
@@ -25,8 +26,21 @@ def aggregate(ds: Dataset, agg: Agg) -> Column:
         return F.count_if(c.isNull())
     if agg.fn == "distinct":
         return F.least(F.count_distinct(c), F.lit(DISTINCT_CAP).cast("bigint"))
+    if agg.fn == "median":
+        return F.lit(None).cast("double")  # joined afterwards (_with_medians)
     measure = as_measure(c, meta.kind)
-    return {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "median": F.median}[agg.fn](measure)
+    return {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max}[agg.fn](measure)
+
+
+def _with_medians(ds: Dataset, rows: DataFrame, grouped: DataFrame, known: list[str], aggs: tuple[Agg, ...]) -> DataFrame:
+    """The groups with their medians, which take ranks rather than one task's list of a group's values."""
+    for a in aggs:
+        meta = ds.meta.column(a.column)
+        if a.fn == "median" and meta is not None:
+            measure = rows.select(*[F.col(f"`{c}`").alias(f"key_{c}") for c in known], as_measure(F.col(f"`{meta.id}`"), meta.kind).alias("__measure"))
+            keys = [f"key_{c}" for c in known]
+            grouped = joined_by(grouped.drop(f"agg_{a.id}"), quantiles(measure, keys, "__measure", (0.5,)), keys, "q0", f"agg_{a.id}")
+    return grouped
 
 
 def group(ds: Dataset, rows: DataFrame, spec: Group) -> DataFrame:
@@ -40,6 +54,7 @@ def group(ds: Dataset, rows: DataFrame, spec: Group) -> DataFrame:
     grouped = rows.groupBy(*[F.col(f"`{c}`").alias(f"key_{c}") for c in known]).agg(F.count(F.lit(1)).alias("group_count"), *aggs)
     if not known:
         grouped = grouped.filter("group_count > 0")
+    grouped = _with_medians(ds, rows, grouped, known, spec.aggs)
     keys = [F.col(f"`key_{c}`") if c in known else F.lit(None).cast("string").alias(f"key_{c}") for c in spec.columns]
     return grouped.select(*keys, "group_count", *[F.col(f"`agg_{a.id}`") for a in spec.aggs])
 
@@ -49,6 +64,7 @@ def with_first(ds: Dataset, rows: DataFrame, spec: Group) -> DataFrame:
     known = [c for c in spec.columns if ds.meta.column(c)]
     aggs = [aggregate(ds, a).alias(f"agg_{a.id}") for a in spec.aggs]
     grouped = rows.groupBy(*[F.col(f"`{c}`").alias(f"key_{c}") for c in known]).agg(F.count(F.lit(1)).alias("group_count"), *aggs, F.min(Dataset.RID).alias("__first"))
+    grouped = _with_medians(ds, rows, grouped, known, spec.aggs)
     keys = [F.col(f"`key_{c}`") if c in known else F.lit(None).cast("string").alias(f"key_{c}") for c in spec.columns]
     return grouped.filter("group_count > 0").select(*keys, "group_count", *[F.col(f"`agg_{a.id}`") for a in spec.aggs], "__first")
 
@@ -83,5 +99,17 @@ def describe_columns(ds: Dataset, spec: Group) -> list[tuple[str, str, str]]:
     return [*keys, ("group_count", "Rows", "int"), *aggs]
 
 
+def default_aggregate(ds: Dataset, column: str) -> Agg:
+    """What a new measure of a column is: its sum, or, where it can't be summed, its count."""
+    meta = ds.meta.column(column)
+    fn = "sum" if meta is not None and meta.kind in ("int", "float") else "count"
+    return Agg(f"{fn}_{column}", fn, column)
+
+
+def key_columns(ds: Dataset) -> list[str]:
+    """Columns that are offered as keys: all but float ones."""
+    return [c.id for c in ds.meta.columns if c.kind != "float"]
+
+
 def key_warnings(ds: Dataset, spec: Group) -> list[str]:
     return [f"{c} is a float column; its groups may be many" for c in spec.columns if (m := ds.meta.column(c)) and m.kind == "float"]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.kinds import as_measure
 from quarry.operators.binning import Bins, condense, date_bins, nice_bins
+from quarry.operators.quantiles import quantiles
 from quarry.plans.meta import ColumnMeta, Dataset
 
 STATS_SCHEMA = (
@@ -14,6 +15,7 @@ STATS_SCHEMA = (
     "p25 double, p50 double, p75 double, p95 double, outliers bigint"
 )
 DISTINCT_CAP, TOP_VALUES, SPARK_BINS, SPARK_CATEGORIES = 100_000, 20, 24, 100
+QUARTILES = (0.25, 0.5, 0.75, 0.95)
 
 
 def _distinct(c: Column) -> Column:
@@ -30,13 +32,13 @@ def quantitative_stats(ds: Dataset, rows: DataFrame, column: str) -> DataFrame:
     """
     meta = ds.meta.column(column)
     v = rows.select(as_measure(F.col(f"`{column}`"), meta.kind).alias("v"))
-    qs = F.percentile("v", F.array(*[F.lit(q) for q in (0.25, 0.5, 0.75, 0.95)]))
     one = v.agg(
         F.count("v").alias("count"), F.count_if(F.col("v").isNull()).alias("nulls"), _distinct(F.col("v")).alias("distinct"), F.min("v").alias("min"), F.max("v").alias("max"),
-        F.avg("v").alias("mean"), F.coalesce(F.sum("v"), F.lit(0.0)).alias("sum"), F.stddev_samp("v").alias("sd"), qs.alias("q"),
+        F.avg("v").alias("mean"), F.coalesce(F.sum("v"), F.lit(0.0)).alias("sum"), F.stddev_samp("v").alias("sd"),
     )
     facts = one.first()
-    q = facts["q"] or [None] * 4
+    found = quantiles(v, [], "v", QUARTILES).first() if facts["count"] else None
+    q = list(found) if found else [None] * 4
     outliers = 0
     if facts["count"]:
         reach = 1.5 * (q[2] - q[0])
@@ -115,8 +117,9 @@ def histogram(ds: Dataset, rows: DataFrame, column: str, target: float = 30) ->
 def profiles(ds: Dataset, rows: DataFrame, columns: list[str] | None = None, bins: int = SPARK_BINS) -> DataFrame:
     """(position, column_id, nulls, completeness, spark) of the asked columns, in their order; unknown ones are left out.
 
-    spark holds counts: of false and true; of the most frequent texts if they are few; of bins otherwise. One job counts
-    nulls and extents of all columns, another one bins all quantitative columns together.
+    spark holds counts: of false and true; of the most frequent texts if there are SPARK_CATEGORIES of them or fewer; of bins
+    otherwise. One job counts nulls and extents of all columns, one bins all quantitative columns together, and one counts
+    the texts of all columns that an estimate finds to have few.
     """
     wanted = [m for c in (columns if columns is not None else [c.id for c in ds.meta.columns]) if (m := ds.meta.column(c))]
     exprs = [F.count(F.lit(1)).alias("rows")]
@@ -142,10 +145,14 @@ def profiles(ds: Dataset, rows: DataFrame, columns: list[str] | None = None, bin
                 if r["k"] == k:
                     full[r["i"]] = float(r["count"])
             found[k] = condense(full, bins)
-    for k, m in enumerate(wanted):
-        if m.kind == "string" and 0 < (m.distinct_count if m.distinct_count >= 0 else facts[f"a{k}"]) <= SPARK_CATEGORIES:
-            top = rows.filter(F.col(f"`{m.id}`").isNotNull()).groupBy(f"`{m.id}`").count().orderBy(F.col("count").desc()).limit(bins).collect()
-            found[k] = [float(r["count"]) for r in top]
+    few = [k for k, m in enumerate(wanted) if m.kind == "string" and 0 < (m.distinct_count if m.distinct_count >= 0 else facts[f"a{k}"] / 2) <= SPARK_CATEGORIES]
+    if few:
+        texts = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"`{wanted[k].id}`").alias("t")) for k in few])
+        counted = rows.select(F.explode(texts).alias("m")).filter("m.t IS NOT NULL").groupBy("m.k", "m.t").count().collect()  # a few hundred texts a column at most
+        for k in few:
+            sizes = sorted((float(r["count"]) for r in counted if r["k"] == k), reverse=True)
+            if len(sizes) <= SPARK_CATEGORIES:
+                found[k] = sizes[:bins]
     n = facts["rows"]
     data = [(k, m.id, n - facts[f"n{k}"], facts[f"n{k}"] / max(n, 1), found.get(k, [])) for k, m in enumerate(wanted)]
     return rows.sparkSession.createDataFrame(data, "position int, column_id string, nulls bigint, completeness double, spark array<double>")

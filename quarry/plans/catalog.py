@@ -8,38 +8,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions import textparse
 from quarry.operators import charts, grouping, rows, stats, values
 from quarry.plans.engine import filtered
-from quarry.plans.meta import Dataset
-from quarry.plans.spec import Agg, Chart, Filter, Group, Query, Search, Sort
-from quarry.sources import adopt, ingest, sinks
-from quarry.sources.scratch import scratch_path
-
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a query under its function's name, with its DuckDB SQL if it has one."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> Dataset:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return adopt.adopt(df.selectExpr(*columns) if columns else df, name)
-
-
-def at(ds: Dataset, *filters: Filter, search: Search = Search()) -> DataFrame:
-    return filtered(ds, Query(filters, search))
-
+from quarry.plans.registry import at, query, table
+from quarry.plans.spec import Agg, Chart, Filter, Group, Search, Sort
+from quarry.sources import ingest, sinks
 
 @query("SELECT l_returnflag AS key_l_returnflag, l_linestatus AS key_l_linestatus, count(*) AS group_count, round(cast(sum(l_extendedprice) AS double), 2) AS s, round(avg(l_discount), 6) AS a FROM lineitem WHERE l_quantity >= 25 GROUP BY 1, 2")
 def flagship_filter_group(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -245,12 +218,12 @@ def chart_line_date(spark, sf_dir):
     return out.data.select(F.col("x").cast("bigint").alias("x"), F.round("y", 4).alias("y"))
 
 
-@query("SELECT o_totalprice x, cast(o_custkey AS double) y FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 i, count(*) OVER () n FROM orders) WHERE i % cast(ceil(n / 20000.0) AS bigint) = 0")
-def chart_scatter(spark, sf_dir):
-    """Source order is the order of o_orderkey, which numbers the rows."""
-    ds = table(spark, sf_dir, "orders")
-    numbered = filtered(ds).withColumn("__rid", F.col("o_orderkey"))
-    return charts.chart(ds, numbered, Chart("scatter", "o_totalprice", "o_custkey")).data
+@query("SELECT l_extendedprice x, cast(l_partkey AS double) y FROM (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_shipdate) - 1 i, count(*) OVER () n FROM lineitem) WHERE i % cast(ceil(n / 20000.0) AS bigint) = 0")
+def chart_scatter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """More rows than points. Source order is an order of the table's values here, so that SQL can number rows alike."""
+    ds = table(spark, sf_dir, "lineitem")
+    order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_shipdate")
+    return charts.chart(ds, filtered(ds).withColumn("__rid", order), Chart("scatter", "l_extendedprice", "l_partkey")).data
 
 
 @query("SELECT cast(o_orderkey AS varchar) || ',' || CASE WHEN contains(o_orderpriority, ',') THEN '\"' || o_orderpriority || '\"' ELSE o_orderpriority END || ',' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.000Z') line FROM orders")
@@ -259,12 +232,6 @@ def csv_lines(spark, sf_dir):
     return sinks.csv_lines(ds, filtered(ds), ["o_orderkey", "o_orderpriority", "o_orderdate"])
 
 
-@query("SELECT event_id, cast(json_extract_string(props, '$.k') AS bigint) AS props_k FROM events")
-def json_flatten(spark, sf_dir):
-    df = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.from_json("props", "map<string,string>").alias("m"))
-    return df.select("event_id", textparse.number(F.try_element_at("m", F.lit("k"))).cast("bigint").alias("props_k"))
-
-
 @query("SELECT o_orderkey, date_trunc('day', o_orderdate)::timestamp d FROM orders")
 def text_to_date(spark, sf_dir):
     texts = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.date_format("o_orderdate", "dd/MM/yyyy").alias("order_date"))
@@ -277,30 +244,3 @@ def text_to_number(spark, sf_dir):
     texts = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.concat(F.lit("$"), F.format_string("%.2f", "o_totalprice")).alias("price"))
     plan = ingest.decide(ingest.evidence(texts, ["price"])[0], "price")
     return texts.select("o_orderkey", ingest.typed(F.col("price"), plan).alias("v"))
-
-
-@query("SELECT 'o_totalprice' column_id, count(*) * 8 \"bytes\", count(*) * 16 naive FROM orders")
-def memory_report(spark, sf_dir):
-    df = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_totalprice")
-    n = F.count(F.lit(1))
-    return df.agg(F.lit("o_totalprice").alias("column_id"), (n * 8).alias("bytes"), (n * 16).alias("naive"))
-
-
-@query("SELECT p_partkey, p_name, p_brand, cast(p_size AS bigint) p_size, p_retailprice FROM part")
-def csv_round_trip(spark, sf_dir):
-    """A table written as CSV, read back as text, with kinds inferred anew."""
-    ds = table(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand", "p_size", "p_retailprice")
-    path = scratch_path(spark, "csv")
-    sinks.csv_lines(ds, filtered(ds)).write.text(path)
-    return ingest.ingest(spark, path, ingest.Options(delimiter=",", header=False)).df.select(
-        *[F.col(f"column_{k}").alias(n) for k, n in enumerate(("p_partkey", "p_name", "p_brand", "p_size", "p_retailprice"), 1)]
-    )
-
-
-@query("SELECT event_id, user_id, event_type, value FROM events")
-def ndjson_round_trip(spark, sf_dir):
-    """A table written as lines of JSON and read back."""
-    path = scratch_path(spark, "json")
-    df = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type", "value")
-    df.coalesce(1).write.json(path)
-    return ingest.ingest(spark, path).df.select("event_id", "user_id", "event_type", "value")

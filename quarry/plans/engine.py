@@ -14,7 +14,7 @@ from quarry.operators import charts, grouping, predicates, values
 from quarry.operators import rows as pages
 from quarry.operators import stats as described
 from quarry.plans.meta import Dataset, DatasetMeta
-from quarry.plans.spec import Chart, Query, View, to_json
+from quarry.plans.spec import Chart, Layout, Query, View, to_json
 from quarry.sources import adopt, ingest, samples, sinks
 from quarry.sources.store import Store
 
@@ -163,6 +163,10 @@ class Engine:
         sinks.write_csv(ds, ordered, path, columns, limit)
         return sinks.exported_rows(frame.count(), limit)
 
+    def export_view(self, path: str, layout: Layout) -> int:
+        """Writes what a view shows: visible columns in their order, and rows up to the most that a view exports."""
+        return self.export_csv(path, sinks.view_columns(layout), sinks.view_limit(self.rows().count()))
+
     def save(self) -> int:
         return self._store().save(self._dataset(), self.progress)
 

@@ -15,6 +15,8 @@ from quarry.sources.sniff import SAMPLE_BYTES, detect_format, sniff_delimiter
 SAFE_INTEGER = 2**53 - 1
 #: Rows from which numeric columns have no count of distinct texts, and texts beyond which no column has one.
 NUMERIC_ROWS, DISTINCT_CAP = 10_000, 65_536
+#: Lines of a file that its format is told by.
+SAMPLE_LINES = 2000
 #: Ranges in which whole numbers under a date header are seconds or milliseconds since the epoch.
 EPOCH_SECONDS, EPOCH_MILLIS = (1e8, 1e11), (1e11, 1e14)
 
@@ -164,15 +166,14 @@ def _null_tokens(s: Column, options: Options) -> Column:
 def ingest(spark: SparkSession, path: str, options: Options = Options(), progress=lambda phase, ratio: None) -> Dataset:
     """A CSV, TSV, text, JSON or NDJSON file (or folder of files of one kind) as a dataset, in source order.
 
-    Short rows are filled with nulls and long ones cut, and both counted as bad; blank lines are skipped, or are null
-    rows where there is one column; bad JSON records are skipped and counted.
+    Files of a folder follow each other by name; the header is the first file's first record, and a later file's first
+    record if it is the same. Short rows are filled with nulls and long ones cut, and both counted as bad; blank lines are
+    skipped, or are null rows where there is one column; bad JSON records are skipped and counted.
     """
     progress("reading", 0.0)
-    files = spark.read.format("binaryFile").load(path)
-    facts = files.agg(F.sum("length").alias("size"), F.min("path").alias("first")).first()
+    facts = spark.read.format("binaryFile").load(path).agg(F.sum("length").alias("size"), F.min("path").alias("first")).first()
     first = facts["first"] or path
-    head = files.filter(F.col("path") == first).select(F.substring("content", 1, SAMPLE_BYTES).alias("h")).first() if facts["first"] else None
-    sample = bytes(head["h"]) if head else b""
+    sample = _head(spark, first) if facts["size"] else b""
     name = first.rsplit("/", 1)[-1]
     size = facts["size"] or 0
     kind = detect_format(name, sample)
@@ -183,6 +184,19 @@ def ingest(spark: SparkSession, path: str, options: Options = Options(), progres
     return _ingest_fields(delimited.read(spark, path, delimiter), text, delimiter, name, size, options, progress)
 
 
+def _head(spark: SparkSession, path: str) -> bytes:
+    """A file's first bytes, whole lines but for a very long one."""
+    lines = spark.read.option("lineSep", "\n").text(path).filter(F.col("_metadata.file_block_start") == 0)
+    out = b""
+    for row in lines.select(F.substring(F.col("value").cast("binary"), 1, SAMPLE_BYTES).alias("v"), (F.col("_metadata.file_size")).alias("size")).limit(SAMPLE_LINES).collect():
+        out += bytes(row["v"]) + b"\n"
+        if len(out) >= SAMPLE_BYTES:
+            break
+        if len(out) > row["size"]:
+            out = out[:-1]  # the last line has no end
+    return out[:SAMPLE_BYTES]
+
+
 def _ingest_fields(rows: DataFrame, sample: str, delimiter: str, name: str, size: int, options: Options, progress) -> Dataset:
     first = next(iter(delimited.tokenize(sample, delimiter)), (None, False))
     if first[0] is None:
@@ -191,9 +205,12 @@ def _ingest_fields(rows: DataFrame, sample: str, delimiter: str, name: str, size
     names = fields if options.header else [f"column_{k}" for k in range(1, len(fields) + 1)]
     ids = column_ids(names)
     n = len(ids)
-    least = rows.agg(F.min("__rid")).first()[0]
-    if options.header and least is not None:
-        rows = rows.filter(F.col("__rid") > least)
+    if options.header:
+        # the first file's first record is the header; later files may repeat it
+        head = rows.filter("first").orderBy("__rid").select("__rid", "fields").first()
+        if head is not None:
+            repeats = F.col("fields") == F.array(*[F.lit(x) for x in head["fields"]]).cast("array<string>")
+            rows = rows.filter(~(F.col("first") & ((F.col("__rid") == head["__rid"]) | repeats)))
     blank = (F.size("fields") == 1) & (F.col("fields")[0] == "")
     if n > 1:
         rows = rows.filter(~blank)
@@ -205,7 +222,7 @@ def _ingest_fields(rows: DataFrame, sample: str, delimiter: str, name: str, size
 
 
 def _ingest_json(spark: SparkSession, path: str, name: str, array: bool, size: int, options: Options, progress) -> Dataset:
-    records = json_records.read_lines(spark, path) if name.lower().endswith((".ndjson", ".jsonl")) and size > delimited.WHOLE_FILE_BYTES else json_records.read(spark, path, array)
+    records = json_records.read(spark, path, array)
     if options.max_rows > 0:
         records = records.orderBy("__rid").limit(options.max_rows)
     bad = records.filter(F.col("keys").isNull()).count()
@@ -234,8 +251,8 @@ def ingest_bytes(spark: SparkSession, content: bytes, name: str, options: Option
         return _finish(texts, names, ids, name, bad, len(content), None, quiet)
     text = content.removeprefix(b"\xef\xbb\xbf").decode("utf-8", "replace")
     delimiter = (options.delimiter or sniff_delimiter(text, name))[:1]
-    data = [(k, fields) for k, (fields, _) in enumerate(delimited.tokenize(text, delimiter))]
-    rows = spark.createDataFrame(data, "__rid long, fields array<string>")
+    data = [(k, k == 0, fields) for k, (fields, _) in enumerate(delimited.tokenize(text, delimiter))]
+    rows = spark.createDataFrame(data, "__rid long, first boolean, fields array<string>")
     return _ingest_fields(rows, text[:SAMPLE_BYTES], delimiter, name, len(content), options, quiet)
 
 

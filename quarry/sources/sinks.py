@@ -50,5 +50,10 @@ def view_columns(layout: Layout) -> list[str]:
     return layout.visible()
 
 
+def view_limit(matched: int) -> int:
+    """Rows that the export of a view writes."""
+    return min(matched, VIEW_ROWS)
+
+
 def exported_rows(matched: int, limit: int = 0) -> int:
     return min(limit, matched) if limit > 0 else matched
