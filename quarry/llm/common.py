@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
 import weakref
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
@@ -120,6 +122,27 @@ def settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
+def release() -> None:
+    """Gives memory that this process no longer uses back to the system; where the C library has no such call, less of it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task's function that releases its memory at its end: workers are reused, and would hold on to it while idle."""
+
+    def task(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return task
+
+
 def parts_for(total_bytes: int, part_bytes: int) -> int:
     """Into how many parts data of this size are dealt, so that a task can hold one whole."""
     return max(-(-int(total_bytes) // part_bytes), 1)

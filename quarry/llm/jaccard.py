@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.llm.common import WIDE_ROWS, by_part, dealt, discard, materialize, parts_for, small_enough, text_or_empty
+from quarry.llm.common import WIDE_ROWS, by_part, dealt, discard, lean, materialize, parts_for, small_enough, text_or_empty
 from quarry.llm.graph import components
 
 WORDS = 5
@@ -109,7 +109,7 @@ def _profiles(docs: DataFrame) -> DataFrame:
             columns = [batch.column(0), batch.column(2), *(pa.array(x, pa.int64()) for x in (n, d1, d2)), pa.array(sample, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "n", "d1", "d2", "sample"])
 
-    return _texts(docs).mapInArrow(run, "doc_id long, text_hash long, n long, d1 long, d2 long, sample binary")
+    return _texts(docs).mapInArrow(lean(run), "doc_id long, text_hash long, n long, d1 long, d2 long, sample binary")
 
 
 def _signed(x: int) -> int:
@@ -131,7 +131,9 @@ def _six(blob: bytes, n: int | None = None, at: int = 0) -> np.ndarray:
 
 def _begins(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where each stretch of equal values begins and ends."""
-    begins = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, int)
+    if not len(part):
+        return np.zeros(0, int), np.zeros(0, int)
+    begins = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
     return begins, np.append(begins[1:], len(part))
 
 
@@ -199,9 +201,9 @@ def _lone_shingles(profiles: DataFrame, total: int) -> DataFrame:
             for at in range(0, len(number), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(number[at : at + 50_000].view(np.int64)), pa.array(lone[at : at + 50_000])], names=["number", "lone"])
 
-    shingles = dealt(profiles.filter("n > 0").select(_class_number(F.col("d1")), "sample").mapInArrow(deal, "part int, blob binary"), parts)
-    counted = dealt(shingles.mapInArrow(count, "part int, blob binary"), parts)
-    return counted.mapInArrow(add, "number long, lone long")
+    shingles = dealt(profiles.filter("n > 0").select(_class_number(F.col("d1")), "sample").mapInArrow(lean(deal), "part int, blob binary"), parts)
+    counted = dealt(shingles.mapInArrow(lean(count), "part int, blob binary"), parts)
+    return counted.mapInArrow(lean(add), "number long, lone long")
 
 
 def _extremes(token: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -349,7 +351,7 @@ def _frequent(sets: DataFrame) -> Frequent:
             many = n >= least
             yield pa.RecordBatch.from_arrays([pa.array(token[many].view(np.int64)), pa.array(n[many])], names=["token", "n"])
 
-    counted = dealt(sets.select("tokens").mapInArrow(deal, "part int, blob binary"), parts).mapInArrow(count, "token long, n long")
+    counted = dealt(sets.select("tokens").mapInArrow(lean(deal), "part int, blob binary"), parts).mapInArrow(lean(count), "token long, n long")
     counted = materialize(counted, "frequent")
     rows = counted.toPandas()  # total / least rows at most
     discard(counted)
@@ -371,7 +373,7 @@ def _sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
     few = F.broadcast(few) if small_enough(few, row_bytes=64) else few
     texts = _texts(docs)
     found = texts.join(few, texts["doc_id"].eqNullSafe(few["rep_id"]) & (texts["text_hash"] == few["rep_hash"]))
-    return found.select("cid", "text").mapInArrow(run, "cid long, n long, tokens binary")
+    return found.select("cid", "text").mapInArrow(lean(run), "cid long, n long, tokens binary")
 
 
 def _keys(sets: DataFrame, starts: list[int], plans: dict[int, Plan], frequent: Frequent) -> DataFrame:
@@ -393,7 +395,7 @@ def _keys(sets: DataFrame, starts: list[int], plans: dict[int, Plan], frequent:
                 for at in range(0, len(key), 100_000):
                     yield pa.RecordBatch.from_arrays([pa.array(key[at : at + 100_000]), pa.array(cid[at : at + 100_000])], names=["key", "cid"])
 
-    return sets.select("cid", "tokens").mapInArrow(run, "key long, cid long")
+    return sets.select("cid", "tokens").mapInArrow(lean(run), "key long, cid long")
 
 
 def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -417,7 +419,7 @@ def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     of_b = sets.select(F.col("cid").alias("b"), F.col("tokens").alias("tokens_b"))
     few = F.broadcast(pairs) if small_enough(pairs, row_bytes=48) else pairs
     met = of_b.join(few, "b").join(of_a, "a").select("a", "b", "tokens_a", "tokens_b")
-    return materialize(met.mapInArrow(run, "a long, b long, common long, total long"), "measured", WIDE_ROWS)
+    return materialize(met.mapInArrow(lean(run), "a long, b long, common long, total long"), "measured", WIDE_ROWS)
 
 
 def _is_link() -> Column:
@@ -534,7 +536,7 @@ def _within_clusters(members: DataFrame, sets: DataFrame) -> DataFrame:
         settle()
         yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(lean(run), "a long, b long")
 
 
 def _links(keys: DataFrame, sets: DataFrame) -> DataFrame:

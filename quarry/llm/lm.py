@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import doc_hash_mod, materialize, text_or_empty
+from quarry.llm.common import doc_hash_mod, lean, materialize, text_or_empty
 
 FOLDS, HELD_OUT = 7, 2
 #: Words with vectors of their own, classes of all other words, and words whose counts every worker holds. The tables of
@@ -163,7 +163,7 @@ def count_words(docs: DataFrame) -> DataFrame:
                 seen.clear()
         yield flush()
 
-    return docs.select(text_or_empty().alias("text")).mapInArrow(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return docs.select(text_or_empty().alias("text")).mapInArrow(lean(run), "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
 class Vocabulary(NamedTuple):
@@ -245,7 +245,7 @@ def train(docs: DataFrame, vocab: Vocabulary, rounds=ROUNDS) -> Params:
                 n = len(blocks)
                 yield pa.RecordBatch.from_arrays([pa.array([task] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array(blocks, pa.list_(pa.float32())), pa.array([float(total)] * n)], names=["task", "block", "x", "weight"])
 
-        copies = part.mapInArrow(run, "task int, block int, x array<float>, weight double")
+        copies = part.mapInArrow(lean(run), "task int, block int, x array<float>, weight double")
         some = copies.groupBy(F.floor(F.col("task") / FAN_IN).cast("int").alias("task"), "block").applyInPandas(_mean, copies.schema)
         whole = some.groupBy("block").applyInPandas(_mean, copies.schema).orderBy("block").collect()  # one copy of the model
         if whole:
@@ -356,7 +356,7 @@ def score(docs: DataFrame) -> DataFrame:
                 )
 
     schema = "uid long, doc_id long, held_out boolean, n_tokens long, n_head long, base double, model double, words array<string>, times array<long>"
-    rows = materialize(docs.select(F.col("doc_id").cast("long"), held_out.alias("held_out"), text_or_empty().alias("text")).mapInArrow(run, schema), "scored")
+    rows = materialize(docs.select(F.col("doc_id").cast("long"), held_out.alias("held_out"), text_or_empty().alias("text")).mapInArrow(lean(run), schema), "scored")
     tail = rows.select("uid", F.explode(F.arrays_zip("words", "times")).alias("t")).select("uid", F.col("t.words").alias("token"), F.col("t.times").alias("times"))
     n = F.coalesce("n", F.lit(0))
     base = math.log10(vocab.tokens + vocab.types + 1)

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import text_or_empty
+from quarry.llm.common import lean, text_or_empty
 
 CAPACITY = 2048
 END_ID = 1
@@ -212,7 +212,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
             yield from flush()
 
     schema = SCHEMA if with_ids else SCHEMA.replace(", ids binary", "")
-    return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(lean(run), schema)
 
 
 def padding(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:

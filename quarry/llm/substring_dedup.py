@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.llm.common import by_part, dealt, materialize, parts_for, small_enough, text_or_empty
+from quarry.llm.common import by_part, dealt, lean, materialize, parts_for, small_enough, text_or_empty
 from quarry.llm.suffix_array import suffix_array
 
 LENGTH, PIECE = 100, 24
@@ -202,7 +202,7 @@ def _segments(rows: DataFrame, parts: int) -> DataFrame:
             blobs = [b"".join(_planes(np.ascontiguousarray(found[f][a:b])) for f, _ in _FIELDS) for a, b in zip(cuts, np.append(cuts[1:], len(part)), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(part[cuts], pa.int32()), pa.array([0] * len(cuts), pa.int32()), pa.array(blobs, pa.binary())], names=["part", "kind", "blob"])
 
-    return dealt(rows.select("doc", "row", "text").mapInArrow(run, "part int, kind int, blob binary"), parts)
+    return dealt(rows.select("doc", "row", "text").mapInArrow(lean(run), "part int, kind int, blob binary"), parts)
 
 
 def _removals(row: np.ndarray, begin: np.ndarray, end: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
@@ -278,7 +278,7 @@ def _settled(segments: DataFrame) -> DataFrame:
         end = f["begin"] + f["length"]
         yield from out(f["row"][pick], f["doc"][pick], same[pick], f["begin"][pick], end[pick], f["anchor"].view(np.int64)[pick], f["offset"].astype(np.int64)[pick])
 
-    return segments.mapInArrow(run, "row long, doc long, gone boolean, begin long, end long, anchor long, offset long")
+    return segments.mapInArrow(lean(run), "row long, doc long, gone boolean, begin long, end long, anchor long, offset long")
 
 
 _SEGMENT = "key long, offset long, doc long, row long, begin long, bytes binary"
@@ -301,7 +301,7 @@ def _fetched(rows: DataFrame, wanted: DataFrame, crowded: bool) -> DataFrame:
                             column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k == 5 else pa.int64()) for k, c in enumerate(out)], names=["key", "offset", "doc", "row", "begin", "bytes"])
 
-    return joined.mapInArrow(run, _SEGMENT)
+    return joined.mapInArrow(lean(run), _SEGMENT)
 
 
 def cores(anchor: int, offset: int, begin: int, segment: bytes, distances: int) -> Iterator[tuple[int, int, int, bytes]]:
@@ -330,7 +330,7 @@ def _told_by_hash(segments: DataFrame) -> DataFrame:
             for at in range(0, len(out[0]), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 50_000], pa.int64()) for c in out], names=["key", "doc", "row", "begin"])
 
-    strings = segments.mapInArrow(run, "key long, doc long, row long, begin long")
+    strings = segments.mapInArrow(lean(run), "key long, doc long, row long, begin long")
     place = F.struct("doc", "row", "begin")
     first = strings.groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k")
     return strings.join(first, "key").filter(place != F.col("first")).select("row", "begin", (F.col("begin") + LENGTH).alias("end"))
@@ -416,7 +416,7 @@ def _compared(fetched: DataFrame) -> DataFrame:
         if held:
             yield settle(held)
 
-    return fetched.repartition("key").sortWithinPartitions("key").mapInArrow(run, "row long, begin long, end long")
+    return fetched.repartition("key").sortWithinPartitions("key").mapInArrow(lean(run), "row long, begin long, end long")
 
 
 def repeats(docs: DataFrame, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
@@ -474,4 +474,4 @@ def dedup(docs: DataFrame, with_text: bool = True, crowd: int = CROWD) -> DataFr
             yield pa.RecordBatch.from_arrays(columns if with_text else columns[:-1], names=names if with_text else names[:-1])
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(lean(run), schema)

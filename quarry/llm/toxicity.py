@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import doc_hash_mod, fresh, quoted, small_enough, text_or_empty
+from quarry.llm.common import doc_hash_mod, fresh, lean, quoted, release, small_enough, text_or_empty
 
 FOLDS, HELD_OUT = 5, 0
 #: A feature must stand in this share of the toxic training rows, and in so many, with at least this log odds.
@@ -31,7 +31,7 @@ SAMPLE = 20_000
 THRESHOLD = 0.5
 PREFIXES = (4, 5, 6)
 TOP_WORDS = 3
-CACHE_WORDS = 150_000
+CACHE_WORDS = 100_000
 #: Words of more characters are decoded anew each time.
 CACHED_LENGTH = 64
 
@@ -69,7 +69,7 @@ def char_trigrams(docs: DataFrame) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["at", "n"])
 
-    rows = docs.select(text_or_empty().alias("text")).mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()  # SYMBOLS ** 3 at most
+    rows = docs.select(text_or_empty().alias("text")).mapInArrow(lean(run), "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()  # SYMBOLS ** 3 at most
     counts = np.zeros(SYMBOLS**3)
     for row in rows:
         counts[row["at"]] = row["n"]
@@ -231,7 +231,7 @@ def _feature_counts(texts: DataFrame, chars, only) -> DataFrame:
                 seen.clear()
         yield flush()
 
-    return texts.select("text").mapInArrow(run, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+    return texts.select("text").mapInArrow(lean(run), "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 1e-3) -> np.ndarray:
@@ -281,8 +281,12 @@ def _measure(model):
     @F.pandas_udf(", ".join(f"{c} double" for c in _COLUMNS))
     def measure(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(model.value.chars, model.value.evidence)
-        for part in parts:
-            yield pd.DataFrame([scorer.measure(t) for t in part], columns=_COLUMNS)
+        try:
+            for part in parts:
+                yield pd.DataFrame([scorer.measure(t) for t in part], columns=_COLUMNS)
+        finally:
+            del scorer
+            release()
 
     return measure
 
