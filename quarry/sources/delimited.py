@@ -177,6 +177,7 @@ class _Split(NamedTuple):
     ordinal: int
     run: int  # the split whose open record its head goes on with, or -1
     trim: int  # the record that ends with the file right behind a delimiter, or -1
+    bare: int  # the kind of the piece that ends with a file whose last line has no end, or -1
 
 
 def _chosen(facts: list) -> list[_Split]:
@@ -196,7 +197,12 @@ def _chosen(facts: list) -> list[_Split]:
         # each line counts one byte for its end, which the last one may lack; a mark of three bytes at the beginning isn't counted
         unended = total[name] - row["size"] in (1, -2)
         trim = row["seq"] - 1 if last and unended and not row["open"] and row["fields"] else -1
-        out.append(_Split(name, block, int(open_), ordinal, run, trim))
+        bare = -1
+        if last and unended and row["open"]:
+            bare = HEAD if open_ and not row["piece"] else TAIL
+        elif last and unended and open_ and row["seq"] == 0:
+            bare = HEAD
+        out.append(_Split(name, block, int(open_), ordinal, run, trim, bare))
         if row["open"]:
             # a record that was open before and never ended in this split goes on
             run = run if open_ and not row["piece"] else ordinal
@@ -212,7 +218,7 @@ def read(spark: SparkSession, path: str, delimiter: str) -> DataFrame:
     scanned = scan(spark, path, delimiter)
     facts = scanned.filter(F.col("kind") == FACTS).select("file", "block", "way", "seq", "open", "bytes", "size", "fields", "piece").collect()  # two rows a split at most
     splits = _chosen(facts)
-    places = spark.createDataFrame(splits or [_Split("", 0, 0, 0, -1, -1)], "file string, block long, way int, ordinal long, run long, trim long")
+    places = spark.createDataFrame(splits or [_Split("", 0, 0, 0, -1, -1, -1)], "file string, block long, way int, ordinal long, run long, trim long, bare int")
     found = scanned.join(F.broadcast(places), ["file", "block", "way"])
     rid = F.shiftleft("ordinal", PLACE_BITS) + F.col("seq")
     begins = (F.col("block") == 0) & (F.col("seq") == 0)
@@ -222,14 +228,14 @@ def read(spark: SparkSession, path: str, delimiter: str) -> DataFrame:
         return rows
     pieces = found.filter(F.col("kind").isin(HEAD, TAIL))
     run = F.when(F.col("kind") == TAIL, F.col("ordinal")).otherwise(F.col("run"))
-    part = F.struct("ordinal", (F.col("kind") == TAIL).alias("tail"), F.when(F.col("kind") == TAIL, F.col("seq")).alias("seq"), F.when(F.col("kind") == TAIL, begins).otherwise(False).alias("first"), "piece")
+    part = F.struct("ordinal", (F.col("kind") == TAIL).alias("tail"), F.when(F.col("kind") == TAIL, F.col("seq")).alias("seq"), F.when(F.col("kind") == TAIL, begins).otherwise(False).alias("first"), "piece", (F.col("kind") == F.col("bare")).alias("bare"))
     joined = pieces.select(run.alias("run"), part.alias("part")).groupBy("run").agg(F.array_sort(F.collect_list("part")).alias("parts"))
 
     def run_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for run, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                text = "\n".join(p["piece"] for p in parts)
+                text = "\n".join(p["piece"] for p in parts) + ("" if parts[-1]["bare"] else "\n")
                 for k, (fields, _) in enumerate(tokenize(text, delimiter)):
                     rows.append(((run << PLACE_BITS) + parts[0]["seq"] + k, parts[0]["first"] and k == 0, fields))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.bool_()), pa.array([r[2] for r in rows], pa.list_(pa.string()))], names=["__rid", "first", "fields"])

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -5,7 +7,7 @@ from quarry.functions import textparse as tp
 from quarry.functions.kinds import number_text
 from quarry.plans.engine import Engine, filtered
 from quarry.plans.meta import column_ids
-from quarry.sources import ingest, samples, sinks
+from quarry.sources import delimited, ingest, json_records, samples, sinks
 from quarry.sources.delimited import tokenize
 from quarry.sources.sniff import detect_format, sniff_delimiter
 
@@ -114,3 +116,57 @@ def test_number_text(spark):
 def test_samples_repeat(spark, preset):
     a, b = (samples.sample(spark, preset, 50) for _ in range(2))
     assert a.df.collect() == b.df.collect() and a.df.count() == 50 and samples.sample(spark, preset, 0).df.count() == 1
+
+
+@pytest.fixture
+def small_splits(spark):
+    """Files are cut into splits of a few dozen bytes."""
+    held = {"spark.sql.files.maxPartitionBytes": "250b", "spark.sql.files.openCostInBytes": "1b", "spark.sql.files.minPartitionNum": "1"}
+    before = {k: spark.conf.get(k, None) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def quoted_text(seed, rows):
+    draw = random.Random(seed)
+    field = lambda: draw.choice(["a", "", "12", '5" pipe', '"x,y"', '"he ""said"" so"', '"two\nlines"', '"a\r\nb\n\nc"', '"' + "long\n" * draw.randint(1, 60) + '"', '"q"tail'])
+    ends = ["\n"] * 5 + ["\r\n"]
+    return "".join(",".join(field() for _ in range(3)) + draw.choice(ends) for _ in range(rows))
+
+
+@pytest.mark.parametrize("seed,tail", [(1, ""), (2, "1,2,"), (3, '1,"open\nto the end')])
+def test_splits_of_quoted_files(spark, tmp_path, small_splits, seed, tail):
+    texts = {"a.csv": quoted_text(seed, 20) + tail, "b.csv": "\ufeffh,i\n" + quoted_text(seed + 10, 10), "c.csv": ""}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    rows = delimited.read(spark, str(tmp_path), ",").orderBy("__rid").collect()
+    expected = [(k == 0, fields) for text in texts.values() for k, (fields, _) in enumerate(delimited.tokenize(text.removeprefix("\ufeff"), ","))]
+    assert [(r["first"], r["fields"]) for r in rows] == expected and len({r["__rid"] for r in rows}) == len(rows)
+
+
+def test_folders_and_headers(spark, tmp_path):
+    for name, text in {"1.csv": "a,b\n1,x\n2,y\n", "2.csv": "a,b\n3,z\n", "3.csv": "4,w\n5,v"}.items():
+        (tmp_path / name).write_text(text)
+    ds = ingest.ingest(spark, str(tmp_path))
+    assert data(ds) == [(1, "x"), (2, "y"), (3, "z"), (4, "w"), (5, "v")] and ds.meta.bad_rows == 0
+    assert data(ingest.ingest(spark, str(tmp_path), ingest.Options(max_rows=4)))[3] == (4, "w")
+
+
+def test_export_of_several_parts_is_one_table(spark, tmp_path):
+    made = samples.sample(spark, "web_events", 400)
+    sinks.write_csv(made, filtered(made).repartition(4), str(tmp_path / "out"))
+    ds = ingest.ingest(spark, str(tmp_path / "out"))
+    assert ds.meta.row_count == 400 and ds.df.select("__rid").distinct().count() == 400
+    ids = [c.id for c in made.meta.columns]
+    assert sorted(map(str, ds.df.select(ids).collect())) == sorted(map(str, made.df.select(ids).collect()))
+
+
+@pytest.mark.parametrize("text,array", [('{"a":1}\n{"a":2} {"a":3}\n\n7\n{bad}\n{"a":"x"}', False), ('{"a":\n1}\n{"a":2}\n{"a":3', False), ('[\n{"a":1},\n{"a":2}\n]\n', True), ('[{"a":1},\n{"a":[1,2]}]', True), ("[\n[\n]\n]", True)])
+def test_lines_of_json_equal_whole_files(spark, tmp_path, small_splits, text, array):
+    (tmp_path / "t.json").write_text(text * (1 if array else 20) if not text.endswith("3") else text)
+    expected = [json_records.parsed(t) for t in json_records.split_values((tmp_path / "t.json").read_text(), array)]
+    rows = json_records.read(spark, str(tmp_path / "t.json"), array).orderBy("__rid").collect()
+    assert [None if r["keys"] is None else list(zip(r["keys"], r["vals"], strict=True)) for r in rows] == expected
