@@ -7,6 +7,7 @@ holds; records that lie across splits are put together from their pieces. One ru
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -21,6 +22,12 @@ from quarry.sources.scratch import kept
 PLACE_BITS = 32
 
 
+@functools.cache
+def _stop(delimiter: str) -> re.Pattern:
+    """What ends a field without quotes."""
+    return re.compile(f"[{re.escape(delimiter)}\r\n]")
+
+
 def tokenize(text: str, delimiter: str) -> Iterator[tuple[list[str], bool]]:
     """Records as (fields, whether the text ended right behind a delimiter).
 
@@ -28,6 +35,12 @@ def tokenize(text: str, delimiter: str) -> Iterator[tuple[list[str], bool]]:
     a closing quote and the delimiter is dropped; an open quote runs to the end.
     """
     at, n = 0, len(text)
+    stop = _stop(delimiter)
+
+    def reach(at: int) -> int:
+        found = stop.search(text, at)
+        return n if found is None else found.start()
+
     while at < n:
         fields: list[str] = []
         while True:
@@ -47,12 +60,9 @@ def tokenize(text: str, delimiter: str) -> Iterator[tuple[list[str], bool]]:
                         continue
                     break
                 fields.append("".join(parts))
-                while at < n and text[at] not in (delimiter, "\r", "\n"):
-                    at += 1
+                at = reach(at)
             else:
-                begin = at
-                while at < n and text[at] not in (delimiter, "\r", "\n"):
-                    at += 1
+                begin, at = at, reach(at)
                 fields.append(text[begin:at])
             if at < n and text[at] == delimiter:
                 at += 1
@@ -67,7 +77,7 @@ def tokenize(text: str, delimiter: str) -> Iterator[tuple[list[str], bool]]:
 
 
 def ends_open(line: str, open_: bool, delimiter: str, stop: re.Pattern) -> bool:
-    """Whether a line ends inside a quoted field, by whether it begins in one; stop finds delimiters and CR."""
+    """Whether a line ends inside a quoted field, by whether it begins in one; stop finds what ends a field."""
     at, n = 0, len(line)
     while True:
         if open_:
@@ -102,7 +112,7 @@ class _Reader:
     """The records of one split, from a state: way 0 begins with a record, way 1 inside a quoted field."""
 
     def __init__(self, file: str, block: int, way: int, delimiter: str):
-        self.key, self.delimiter, self.stop = (file, block, way), delimiter, re.compile(f"[{re.escape(delimiter)}\r]")
+        self.key, self.delimiter, self.stop = (file, block, way), delimiter, _stop(delimiter)
         self.open, self.in_head = way == 1, way == 1
         self.pending: list[str] = []
         self.last, self.head_ended = "", False
@@ -113,6 +123,13 @@ class _Reader:
 
     def feed(self, line: str, octets: int) -> Iterator[tuple]:
         self.bytes += octets + 1
+        if not self.open and '"' not in line:
+            plain = line.removesuffix("\r")
+            if "\r" not in plain:  # nearly all lines
+                self.last = line
+                yield self.row(RECORD, plain.split(self.delimiter))
+                self.seq += 1
+                return
         self.open = ends_open(line, self.open, self.delimiter, self.stop) if '"' in line else self.open
         self.pending.append(line)
         if self.open:
