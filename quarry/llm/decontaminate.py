@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialize, quoted, small_enough
+from quarry.llm.common import BROADCAST_LIMIT_BYTES, materialize, quoted, small_enough
 
 WORDS = 8
 #: An item is found if half its windows, or this many, are.
@@ -145,7 +145,9 @@ def _consistent(pairs: DataFrame, docs: DataFrame, items: DataFrame) -> DataFram
     by = ["doc_id", "text_hash", "item_id"]
     # a pair's rows carry no text; only documents with a slotted pair are read again
     few = pairs.select("doc_id", "text_hash", "item_id", "way", "n", "n_windows", "at")
-    few = F.broadcast(few) if small_enough(few, row_bytes=2000) else few
+    # a pair lists all its matching windows, so its bytes are counted, not its rows
+    weight = few.agg(F.sum(100 + 16 * F.size("at").cast("long"))).first()[0] or 0
+    few = F.broadcast(few) if weight <= BROADCAST_LIMIT_BYTES else few
     same = F.col("p.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("p.text_hash") == F.col("d.text_hash"))
     held = few.alias("p").join(docs.alias("d"), same).select("p.doc_id", "p.text_hash", "p.item_id", "p.way", "p.n", "p.n_windows", "p.at", _held(template_words(F.col("d.text"))).alias("doc_words"))
     item_words = items.select("item_id", _held(template_words(F.col("text"))).alias("item_words"))
