@@ -40,7 +40,7 @@ def shared_dir(spark: SparkSession) -> str:
 #: Settings while a table is written: its shuffle files go once it is there, and Python workers get small batches.
 _WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 #: Rows of an Arrow batch: of texts, and where a row may hold a whole set of shingles or more.
-BATCH_ROWS, WIDE_ROWS = 2000, 200
+BATCH_ROWS, WIDE_ROWS = 1000, 200
 #: Tasks that parts of a dealt table are spread over at most; a task takes its parts one after another.
 MOST_TASKS = 20_000
 
@@ -58,6 +58,14 @@ def materialize(df: DataFrame, name: str, batch_rows: int = BATCH_ROWS) -> DataF
     return out
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Holds the session's Arrow batches to BATCH_ROWS rows from now on: what an operator returns runs later, and texts by the
+    ten thousand would fill workers, and the executors' memory outside their heap."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Deletes tables that materialize wrote and that no later job reads."""
     for table in tables:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.llm.common import WIDE_ROWS, by_part, dealt, discard, lean, materialize, parts_for, small_enough, text_or_empty
+from quarry.llm.common import WIDE_ROWS, by_part, dealt, discard, lean, materialize, parts_for, short_batches, small_enough, text_or_empty
 from quarry.llm.graph import components
 
 WORDS = 5
@@ -573,6 +573,7 @@ def _numbered(alive: DataFrame) -> DataFrame:
 
 def _linked(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """What link returns, and the tables in the shared folder that it reads."""
+    short_batches(docs.sparkSession)
     wide = materialize(_profiles(docs), "profiles")
     profiles = materialize(wide.drop("sample"), "facts")
     classes = profiles.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "text_hash")).alias("rep"))

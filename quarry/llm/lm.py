@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import doc_hash_mod, lean, materialize, text_or_empty
+from quarry.llm.common import doc_hash_mod, lean, materialize, short_batches, text_or_empty
 
 FOLDS, HELD_OUT = 7, 2
 #: Words with vectors of their own, classes of all other words, and words whose counts every worker holds. The tables of
@@ -304,6 +304,7 @@ def score(docs: DataFrame) -> DataFrame:
     empty text; repeated rows count, train and score one by one; without training rows, every token is unseen; an
     empty table gives no rows.
     """
+    short_batches(docs.sparkSession)
     context = docs.sparkSession.sparkContext
     docs = docs.select("doc_id", "text")
     held_out = doc_hash_mod(FOLDS) == HELD_OUT

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import lean, text_or_empty
+from quarry.llm.common import lean, short_batches, text_or_empty
 
 CAPACITY = 2048
 END_ID = 1
@@ -184,6 +184,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
     task. Null text is empty: its document is one piece, the end id alone. Repeated rows are packed once each, a null
     doc_id is kept, other columns are not read, and an empty table gives no rows. Full windows never mix documents.
     """
+    short_batches(docs.sparkSession)
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.llm.common import by_part, dealt, lean, materialize, parts_for, small_enough, text_or_empty
+from quarry.llm.common import by_part, dealt, lean, materialize, parts_for, short_batches, small_enough, text_or_empty
 from quarry.llm.suffix_array import suffix_array
 
 LENGTH, PIECE = 100, 24
@@ -421,6 +421,7 @@ def _compared(fetched: DataFrame) -> DataFrame:
 
 def repeats(docs: DataFrame, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
     """The numbered rows of docs, and (row, begin, end) of what to remove from them; stretches may overlap."""
+    short_batches(docs.sparkSession)
     rows, size = _numbered(docs)
     settled = materialize(_settled(_segments(rows, parts_for(FACT_SHARE * size, PART_BYTES))), "settled")
     wanted = settled.filter(~F.col("gone")).select("row", "anchor", "offset", "begin", "end")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import doc_hash_mod, fresh, lean, quoted, release, small_enough, text_or_empty
+from quarry.llm.common import doc_hash_mod, fresh, lean, quoted, release, short_batches, small_enough, text_or_empty
 
 FOLDS, HELD_OUT = 5, 0
 #: A feature must stand in this share of the toxic training rows, and in so many, with at least this log odds.
@@ -248,6 +248,7 @@ def fit_curve(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 1e-
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Learns from all documents (characters) and from the labelled rows outside the held-out fold (evidence, curve)."""
+    short_batches(docs.sparkSession)
     context = docs.sparkSession.sparkContext
     chars = char_model(char_trigrams(docs))
     shared = context.broadcast(chars)
