@@ -133,7 +133,7 @@ def test_failed_save_keeps_views(spark, tmp_path, monkeypatch):
     engine = Engine(spark, str(tmp_path / "store"))
     meta = engine.load_sample("ecommerce", 10)
     engine.store.save_view(View("v", meta.id, "kept"))
-    monkeypatch.setattr("pathlib.Path.replace", lambda *a: (_ for _ in ()).throw(OSError("full")))
+    monkeypatch.setattr("quarry.sources.files.Folder.write", lambda *a: (_ for _ in ()).throw(OSError("full")))
     with pytest.raises(OSError):
         engine.save()
     assert engine.store.load(meta.id) is None and not (tmp_path / "store/data" / meta.id).exists() and len(engine.store.views(meta.id)) == 1
