@@ -4,10 +4,12 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -264,6 +266,41 @@ def test_word_ids_are_whole_text_ids(text):
     assert [np.frombuffer(words.encode(text.encode()), "<u4").tolist() for _ in range(2)] == [ids, ids]
 
 
+def test_distinct_words_are_encoded_once():
+    words, asked = packing.WordIds(TOKENIZER), []
+    whole = words._whole
+    words._whole = lambda texts: asked.extend(texts) or whole(texts)
+    texts = ["Aİ, aİ* xक़; ", "été, (naïf) don't 12,5%", "été. été### <|x|>", "", "naïf-été été; don't. 's. été's"] * 50
+    for _ in range(2):
+        for text, ids in zip(texts, words.encode_all(pa.array(texts)), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
+    asked = [x for x in asked if "<|" not in x]  # such a text is encoded as a whole each time
+    parts = [p for x in asked for p in x.split()]
+    assert len(parts) == len(set(parts)) < 18 and "été," not in parts and "été###" not in parts
+
+
+def test_words_are_kept_up_to_a_bound(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_WORDS", 10)
+    words = packing.WordIds(TOKENIZER)
+    for k in range(20):
+        text = " ".join(f"{'abcdefghijklmnopqrst'[k]}{x}y," for x in "klmnop") + " same"
+        ids = next(words.encode_all(pa.array([text])))
+        assert np.frombuffer(ids, "<u4").tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(words.known) <= 10 + 14
+
+
+def test_packing_holds_no_ids_unless_asked():
+    batches = [pa.RecordBatch.from_pydict({"doc_id": [k], "text": ["word " * 500_000]}) for k in range(12)]
+    peaks = {}
+    for with_ids in (False, True):
+        tracemalloc.start()
+        out = list(packing.pieces_of(iter(batches), TOKENIZER, 2048, b"\1\0\0\0", with_ids, 0))
+        peaks[with_ids] = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert sum(sum(x["length"].to_pylist()) for x in out) == 12 * 500_001 and ("ids" in out[0].schema.names) == with_ids
+    assert peaks[False] < peaks[True] - 12_000_000
+
+
 def test_best_fit():
     draw = np.random.default_rng(1)
     lengths = draw.integers(1, 2049, 3000)
