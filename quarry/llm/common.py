@@ -38,9 +38,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 #: Settings while a table is written: its shuffle files go once it is there, and Python workers get small batches.
-_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 #: Rows of an Arrow batch: of texts, and where a row may hold a whole set of shingles or more.
 BATCH_ROWS, WIDE_ROWS = 1000, 200
+#: Bytes of an Arrow batch that a worker returns.
+OUT_BYTES = 1 << 20
 #: Tasks that parts of a dealt table are spread over at most; a task takes its parts one after another.
 MOST_TASKS = 20_000
 
@@ -139,12 +141,21 @@ def release() -> None:
         trim(0)
 
 
+def in_short(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about OUT_BYTES at most, but for one row: the JVM holds each whole, outside its heap."""
+    rows = max(batch.num_rows * OUT_BYTES // max(batch.nbytes, 1), 1)
+    for at in range(0, max(batch.num_rows, 1), rows):
+        yield batch.slice(at, rows)
+
+
 def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """A task's function that releases its memory at its end: workers are reused, and would hold on to it while idle."""
+    """A task's function that returns short batches, and releases its memory at its end: workers are reused, and would hold
+    on to it while idle."""
 
     def task(batches: Iterator) -> Iterator:
         try:
-            yield from run(batches)
+            for batch in run(batches):
+                yield from in_short(batch)
         finally:
             release()
 

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import lean, short_batches, text_or_empty
+from quarry.llm.common import lean, release, short_batches, text_or_empty
 
 CAPACITY = 2048
 END_ID = 1
@@ -31,9 +31,9 @@ BLOCK_DOCS = 50_000
 #: Bytes of ids in such a block at most, but for one document. They are held only if asked for.
 BLOCK_BYTES = 128 << 20
 #: Bytes of texts that are encoded together.
-LOT_BYTES = 4 << 20
+LOT_BYTES = 1 << 20
 #: Distinct words whose ids a worker keeps; beyond them, only those of the texts at hand stay.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
@@ -119,6 +119,7 @@ class WordIds:
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, at in self.tokenizer.get_vocab().items():
             self.ends[at] = token.endswith(self.WORD_END)
+        release()  # of the file and its tokens
         self.known: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, graph, jaccard, line_dedup, lm, packing, secrets, substring_dedup, tiff, toxicity, urls
+from quarry.llm import common, decontaminate, graph, jaccard, line_dedup, lm, packing, secrets, substring_dedup, tiff, toxicity, urls
 from quarry.llm.catalog import TOKENIZER
 from quarry.llm.suffix_array import suffix_array
 
@@ -301,6 +301,15 @@ def test_packing_holds_no_ids_unless_asked():
     assert peaks[False] < peaks[True] - 12_000_000
 
 
+def test_workers_return_short_batches():
+    sizes = [0, 1, 5000, 3]
+    batches = [pa.RecordBatch.from_pydict({"k": list(range(n)), "blob": [bytes([k % 256]) * 1000 for k in range(n)]}, pa.schema([("k", pa.int64()), ("blob", pa.binary())])) for n in sizes]
+    out = list(common.lean(lambda given: given)(iter(batches)))
+    assert max(x.nbytes for x in out) <= common.OUT_BYTES + 2000 and pa.Table.from_batches(out).equals(pa.Table.from_batches(batches))
+    wide = pa.RecordBatch.from_pydict({"blob": [b"x" * 3_000_000, b"y"]})
+    assert [x.num_rows for x in common.lean(lambda given: given)(iter([wide]))] == [1, 1]
+
+
 def test_best_fit():
     draw = np.random.default_rng(1)
     lengths = draw.integers(1, 2049, 3000)
